@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,26 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def grouped(frames, cols: list[str]):
+    """The rows of each group of cols as one frame, from frames that are sorted by cols."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys = frame[cols].to_numpy()
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
+            key = tuple(keys[a])
+            if held and key != last:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+                held = []
+            held.append(frame.iloc[a:b])
+            last = key
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Union:
     """Union-find over hashable items; the smaller item is the root."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,50 +93,48 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
     return Model([(x["lang"], r["word"], x["n"]) for r in top for x in r["by"]])
 
 
-def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and the other columns of docs for each row; only text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.parts))
+def detector(spark, model: Model):
+    """A column function from text to struct(lang_pred, score)."""
+    shared = spark.sparkContext.broadcast((model.langs, model.parts))
     langs = model.langs
+    width = len(langs)
 
-    def run(frames):
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model.__new__(Model)
         own.fill(*shared.value)
-        width = len(langs)
         cache: dict[str, int] = {}
         store = np.zeros((1024, width + 1))
 
         def row(word: str) -> int:
             nonlocal store
-            parts = LETTERS.findall(word.lower())
+            found = LETTERS.findall(word.lower())
             if len(cache) >= len(store):
                 store = np.concatenate([store, np.zeros_like(store)])
             k = cache[word] = len(cache)
             store[k] = 0
-            for p in parts:
+            for p in found:
                 store[k, :width] += own.word(p)
-            store[k, width] = len(parts)
+            store[k, width] = len(found)
             return k
 
-        for frame in frames:
+        for texts in columns:
             if len(cache) > CACHE:
                 cache.clear()
-            words = pc.utf8_split_whitespace(pa.array(frame["text"].fillna(""), pa.large_string()))
+            words = pc.utf8_split_whitespace(pa.array(texts.fillna(""), pa.large_string()))
             coded = words.flatten().dictionary_encode()
             ids = np.fromiter((cache[w] if w in cache else row(w) for w in coded.dictionary.to_pylist()), np.int64)
             at = ids[coded.indices.to_numpy(zero_copy_only=False)] if len(ids) else ids
-            doc = np.repeat(np.arange(len(frame)), np.diff(np.asarray(words.offsets)))
-            sums = np.stack([np.bincount(doc, store[at, k], len(frame)) for k in range(width + 1)], axis=1)
+            doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(words.offsets)))
+            sums = np.stack([np.bincount(doc, store[at, k], len(texts)) for k in range(width + 1)], axis=1)
             has = (sums[:, width] > 0) & bool(width)
-            total = sums[:, :width] if width else np.zeros((len(frame), 1))
+            total = sums[:, :width] if width else np.zeros((len(texts), 1))
             p = np.exp(total - total.max(axis=1, keepdims=True))
             best = total.argmax(axis=1)
-            frame["lang_pred"] = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-            frame["score"] = np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)
-            yield frame[["d", "lang_pred", "score"]]
+            names = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
+            yield pd.DataFrame({"lang_pred": names, "score": np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)})
 
-    batches(docs.sparkSession, 3000)
-    got = docs.select(F.col("doc_id").cast("string").alias("d"), "text").mapInPandas(run, "d string, lang_pred string, score double")
-    return got.select(F.col("d").cast("long").alias("doc_id"), "lang_pred", "score")
+    batches(spark, 3000)
+    return F.pandas_udf(run, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -145,11 +144,14 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     from and is not held out; without any labelled row everything is `und`; repeated rows get equal results;
     ties go to the language first in code-point order; an empty table gives no rows; other columns are not read.
     """
-    out = detect(docs, train(docs, folds))
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    told = detector(docs.sparkSession, train(docs, folds))
+    out = docs.select("doc_id", "text").withColumn("told_", told("text"))
+    held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "told_.lang_pred", "told_.score")
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with a score of `least` or more; all columns stay."""
-    good = detect(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    told = detector(docs.sparkSession, train(docs))
+    good = (F.col("told_.lang_pred") != "und") & (F.col("told_.score") >= least)
+    return docs.withColumn("told_", told("text")).where(good).select(*docs.columns)

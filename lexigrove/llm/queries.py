@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrove.llm import fingerprint, langid, mixing, packing, sharding, urlfilter, warc
+from lexigrove.llm import fingerprint, jaccard, langid, mixing, packing, sharding, substring, urlfilter, vectors, warc
 from lexigrove.session import table
 
 
@@ -16,6 +16,19 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark, sf_dir):
+    got = substring.strip_passages(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filters(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -44,7 +57,7 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op6_url_filters, op7_mixing, op8_packing, op9_warc_fixity, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_embedding_dedup, op4_jaccard_join, op5_suffix_dedup, op6_url_filters, op7_mixing, op8_packing, op9_warc_fixity, op10_fingerprints)}
 
 _AFTER = "substr(url, strpos(url, '://') + 3)"
 SQL = {
