@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Makes Spark delete an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
     return (
@@ -36,7 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later failures restart from here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    try:  # nothing reads this write's shuffles again
+        spark.conf.set(CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
