@@ -49,5 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
+
+
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As cut(), but in buckets of key, so that a later join or grouping by key need not shuffle df again.
+    There are as many buckets as shuffle partitions at least."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    buckets = min(MOST_BUCKETS, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    before = spark.conf.get(CLEAN, None)
+    try:
+        spark.conf.set(CLEAN, "true")
+        dealt = df.repartition(buckets, key)  # as bucketBy deals out: one file for each bucket
+        dealt.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
