@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import batches, grouped, parts
-from lexigrove.session import cut
+from lexigrove.session import cut, cut_by
 
 #: Bytes of a passage. Each has an anchor, the least of the GRAM-byte strings that start in its first
 #: WINDOW bytes, and holds at least DEPTH bytes from there on.
@@ -24,6 +24,8 @@ HOT = 200
 #: Suffixes that a task sorts into one run, documents for each bucket, bytes that tell buckets apart,
 #: suffixes that the bounds of the buckets are taken from.
 RUN, BUCKET_DOCS, HEAD, SAMPLE = 40_000, 1_500, 12, 50_000
+#: Documents of one task where texts are read.
+TABLE_DOCS = 4_500
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 TABLE = np.random.Generator(np.random.PCG64(17)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -328,20 +330,26 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
-def joined(ranges) -> list[tuple[int, int]]:
-    """Sorted ranges, those that touch or overlap as one."""
-    out: list[list[int]] = []
-    for r in ranges if ranges is not None else []:
-        a, b = int(r["start"]), int(r["end"])
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+def without(text: str | None, starts, ends) -> tuple[bytes, int, int]:
+    """A text's bytes without those of the sorted ranges; their number; how many runs they make, where ranges
+    that touch or overlap are one."""
+    raw, at, runs, kept = (text or "").encode(), 0, 0, []
+    for a, b in zip(starts, ends, strict=True) if starts is not None else ():
+        if not runs or a > at:
+            kept.append(raw[at:a])
+            runs += 1
+        at = max(at, int(b))
+    kept.append(raw[at:])
+    left = b"".join(kept)
+    return left, len(raw), runs
+
+
+def _with_ranges(docs: DataFrame) -> DataFrame:
+    """docs, which have a rid and a text, and the arrays starts and ends of their ranges, or null. Texts are
+    shuffled once, to buckets of rid, and not again for the joins."""
+    docs = cut_by(docs, "rid", parts(docs.count(), TABLE_DOCS, 12))
+    ranges = cut(repeated_ranges(docs.select("rid", "text")))
+    return docs.join(ranges.select("rid", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends")), "rid", "left")
 
 
 def strip_passages(docs: DataFrame) -> DataFrame:
@@ -356,49 +364,37 @@ def strip_passages(docs: DataFrame) -> DataFrame:
     rows are copies of one another; a null doc_id is kept; an empty table gives no rows.
     """
     batches(docs.sparkSession)
-    docs = _identified(docs.select("doc_id", "text"))
-    ranges = cut(repeated_ranges(docs.select("rid", "text")))
 
     def strip(frames):
         for frame in frames:
             out = []
-            for doc, text, r in zip(frame["d"], frame["text"], frame["ranges"], strict=True):
-                raw, at, kept = (text or "").encode(), 0, []
-                cuts = joined(r)
-                for a, b in cuts:
-                    kept.append(raw[at:a])
-                    at = b
-                kept = b"".join([*kept, raw[at:]])
-                out.append((doc, kept, len(raw), len(raw) - len(kept), len(cuts)))
+            for doc, text, starts, ends in zip(frame["d"], frame["text"], frame["starts"], frame["ends"], strict=True):
+                kept, size, runs = without(text, starts, ends)
+                out.append((doc, kept, size, size - len(kept), runs))
             yield pd.DataFrame(out, columns=["d", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    with_ranges = docs.join(ranges, "rid", "left").select(F.col("doc_id").cast("string").alias("d"), "text", "ranges")
-    got = with_ranges.mapInPandas(strip, "d string, kept binary, n_bytes long, n_removed long, n_spans long")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("string").alias("d"), "text")
+    got = _with_ranges(rows).select("d", "text", "starts", "ends").mapInPandas(strip, "d string, kept binary, n_bytes long, n_removed long, n_spans long")
     return got.select(F.col("d").cast("long").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """The documents with their repeated passages cut out (bytes that no longer form a character go, too);
-    those of which nothing is left go. n_chars, where there is one, counts what stays. All columns stay."""
+    those of which nothing is left go. n_chars, where there is one, counts what stays. All columns stay, under
+    whatever names."""
     batches(docs.sparkSession)
-    ided = _identified(docs)
-    ranges = cut(repeated_ranges(ided.select("rid", "text")))
 
-    def cut_text(frames):
-        for frame in frames:
-            out = []
-            for text, r in zip(frame["text"], frame["ranges"], strict=True):
-                raw, at, kept = (text or "").encode(), 0, []
-                for a, b in joined(r):
-                    kept.append(raw[at:a])
-                    at = b
-                out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
-            yield pd.DataFrame({"rid": frame["rid"], "stays": out})
-
-    hurt = ided.join(ranges, "rid").select("rid", "text", "ranges").dropDuplicates(["rid"])
-    stays = hurt.mapInPandas(cut_text, "rid long, stays string")
-    got = ided.join(stays, "rid", "left").where("stays is null or stays <> ''")
-    cols = {"text": F.coalesce("stays", "text")}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("stays").isNotNull(), F.length("stays").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.withColumns(cols).select(*docs.columns)
+    def cut_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        rows = zip(text, starts, ends, strict=True)
+        return pd.Series([None if a is None else without(t, a, b)[0].decode("utf-8", "ignore") for t, a, b in rows], dtype=object)
+
+    # not to be worked out for the filter and again for the column
+    shortened = F.pandas_udf(cut_text, "string").asNondeterministic()
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.struct(*others).alias("row"))
+    hurt = F.when(F.col("starts").isNotNull(), F.col("text"))  # other texts need not go to Python
+    got = _with_ranges(rows).withColumn("stays", shortened(hurt, "starts", "ends")).where("stays is null or stays <> ''")
+    cols = {c: F.col("row")[c] for c in others} | {"text": F.coalesce("stays", "text")}
+    if "n_chars" in others:
+        cols["n_chars"] = F.when(F.col("stays").isNotNull(), F.length("stays").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return got.select(*(cols[c].alias(c) for c in docs.columns))

@@ -158,6 +158,10 @@ def test_substrings(docs, empty, monkeypatch, hot):
     texts = {r["doc_id"]: r["text"] for r in left.collect()}
     assert all((texts.get(k) or "") == e[3].decode("utf-8", "ignore") for k, e in expected.items())
     assert substring.strip_passages(empty).count() == 0
+    clash = docs.select("*", F.lit(5).alias("rid"), F.lit("r").alias("row"), F.lit("s").alias("stays"), F.lit(6).alias("starts"), F.lit(7).alias("ranges"))
+    got = substring.without_passages(clash)
+    assert got.columns == clash.columns and {tuple(r)[-5:] for r in got.collect()} == {(5, "r", "s", 6, 7)}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == texts
 
 
 def test_loser_tree():
