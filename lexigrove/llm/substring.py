@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import zlib
 from bisect import bisect_right
@@ -21,6 +20,8 @@ LENGTH, GRAM, WINDOW = 400, 16, 200
 DEPTH = LENGTH - WINDOW
 #: An anchor's suffix that occurs more often has its passages dealt out by their hashes.
 HOT = 200
+#: Passages of a text that are hashed at a time, and bits that hold a place among them.
+PART, PLACE = 1 << 18, np.uint64(20)
 #: Suffixes that a task sorts into one run, documents for each bucket, bytes that tell buckets apart,
 #: suffixes that the bounds of the buckets are taken from.
 RUN, BUCKET_DOCS, HEAD, SAMPLE = 40_000, 1_500, 12, 50_000
@@ -48,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Text:
-    """Hashes of all substrings of some bytes, and their anchors."""
+    """Hashes of all substrings of some bytes."""
 
     def __init__(self, raw: bytes):
         b = np.frombuffer(raw, np.uint8)
@@ -63,24 +64,40 @@ class Text:
         return _mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors, and the first and last passage start that has each."""
+        """Anchors, and the first and last passage start that has each, of PART passages at most."""
         count = self.n - LENGTH + 1
-        if count < 1:
-            return (np.zeros(0, np.int64),) * 3
         grams = count + WINDOW - 1
-        bits = U(max(20, grams.bit_length()))
-        value = (self.hashes(slice(0, grams), GRAM) >> bits << bits) | np.arange(grams, dtype=np.uint64)
+        value = (self.hashes(slice(0, grams), GRAM) >> PLACE << PLACE) | np.arange(grams, dtype=np.uint64)
         pad = np.full(-(-grams // WINDOW) * WINDOW, ~U(0))
         pad[:grams] = value
         rows = pad.reshape(-1, WINDOW)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(back[:count], ahead[WINDOW - 1 : WINDOW - 1 + count])
-        a = (least & ((U(1) << bits) - U(1))).astype(np.int64)
+        a = (least & ((U(1) << PLACE) - U(1))).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         return a[first], first, np.append(first[1:], count) - 1
 
 
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, the first and last passage start that has each, and the hash of the DEPTH bytes from each. A text
+    of any length is hashed PART passages at a time."""
+    count = len(raw) - LENGTH + 1
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none, none.astype(np.uint64))]
+    for at in range(0, count, PART):
+        t = Text(raw[at : min(at + PART, count) + LENGTH - 1])
+        anchor, first, last = t.anchors()
+        part = [anchor + at, first + at, last + at, t.hashes(anchor, DEPTH)]
+        before = found[-1]
+        if len(before[0]) and before[0][-1] == part[0][0]:  # an anchor that the part before has, too
+            before[2][-1] = part[2][0]
+            part = [x[1:] for x in part]
+        if len(part[0]):
+            found.append(tuple(part))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def common(a: bytes, b: bytes, h: int) -> int:
     """Length of the common prefix, of which h is known."""
     n = min(len(a), len(b))
@@ -238,14 +255,13 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int):
     for frame in frames:
         for rid, text, places, often in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["often"], strict=True):
             raw = (text or "").encode()
-            t = Text(raw)
-            anchor, first, last = t.anchors()
+            anchor, first, last, _ = anchors(raw)
             at = np.searchsorted(anchor, np.asarray(places, np.int64))
             for k, much in zip(at.tolist(), list(often), strict=True):
                 lo, hi = int(first[k]), int(last[k])
                 if much:
                     p = np.arange(lo, hi + 1)
-                    hot.append((rid, p, t.hashes(p, LENGTH)))
+                    hot.append((rid, p, Text(raw[lo : hi + LENGTH]).hashes(slice(0, len(p)), LENGTH)))
                     held += (hi - lo + 1) // 25 + 1
                 else:
                     blocks.setdefault((raw[lo : hi + LENGTH], int(anchor[k]) - lo), []).append((rid, lo))
@@ -300,19 +316,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     def post(frames):
         for frame in frames:
-            out = []
-            for rid, text in zip(frame["rid"].tolist(), frame["text"], strict=True):
-                raw = (text or "").encode()
-                if len(raw) >= LENGTH:
-                    t = Text(raw)
-                    a = t.anchors()[0]
-                    out.append(pd.DataFrame({"rid": rid, "place": a, "suffix": t.hashes(a, DEPTH).view(np.int64)}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"rid": [], "place": [], "suffix": []}, dtype=np.int64)
+            found = [anchors((text or "").encode()) for text in frame["text"]]
+            place, suffix = (np.concatenate([np.zeros(0, kind), *(x[k] for x in found)]) for k, kind in ((0, np.int64), (3, np.uint64)))
+            rid = np.repeat(frame["rid"].to_numpy(np.int64), [len(x[0]) for x in found])
+            yield pd.DataFrame({"rid": rid, "place": place, "suffix": suffix.view(np.int64)})
 
     def heads(frames):
         for frame in frames:
             raws = [(t or "").encode() for t in frame["text"]]
-            yield pd.DataFrame({"head": [r[a : a + HEAD] for r in raws for a in Text(r).anchors()[0].tolist()]}, dtype=object)
+            yield pd.DataFrame({"head": [r[a : a + HEAD] for r in raws for a in anchors(r)[0].tolist()]}, dtype=object)
 
     posted = cut(docs.mapInPandas(post, "rid long, place int, suffix long"))
     again = posted.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1")

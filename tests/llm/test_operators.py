@@ -164,6 +164,16 @@ def test_substrings(docs, empty, monkeypatch, hot):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == texts
 
 
+def test_anchors_in_parts(monkeypatch):
+    r = random.Random(9)
+    texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 399, 400, 401, 3000)] + [b"x" * 2500, b"ab" * 900]
+    whole = [substring.anchors(t) for t in texts]
+    for part in (1, 7, 400, 1601, 2600):
+        monkeypatch.setattr(substring, "PART", part)
+        for one, t in zip(whole, texts, strict=True):
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(one, substring.anchors(t), strict=True))
+
+
 def test_loser_tree():
     r = random.Random(3)
     for _ in range(200):
