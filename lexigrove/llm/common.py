@@ -23,6 +23,24 @@ def parts(n: int, each: int, least: int = 1) -> int:
     return max(least, -(-n // each))
 
 
+#: Keys that hold more than one HEAVY-th of all rows each are fewer than HEAVY, whatever the data.
+HEAVY = 1000
+
+
+def repeated(df: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows of df whose key (a long) is in several rows, with n, how many. df must be a written table.
+
+    Rows are counted before they are shuffled. The counts of keys with over one HEAVY-th of all rows, fewer than
+    HEAVY of them, are broadcast, so that such a key's rows stay where they are; other rows meet their
+    counts in a join. Null keys go; an empty table gives no rows.
+    """
+    counts = cut(df.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
+    much = counts.where(F.col(n) > df.count() / HEAVY)
+    marked = df.join(F.broadcast(much), key, "left")
+    few = marked.where(F.col(n).isNull()).drop(n).join(counts, key)
+    return few.unionByName(marked.where(F.col(n).isNotNull()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (id, component_id) per node that has an edge.
 

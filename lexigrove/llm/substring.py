@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import batches, grouped, parts
+from lexigrove.llm.common import batches, grouped, parts, repeated
 from lexigrove.session import cut, cut_by
 
 #: Bytes of a passage. Each has an anchor, the least of the GRAM-byte strings that start in its first
@@ -327,8 +327,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"head": [r[a : a + HEAD] for r in raws for a in anchors(r)[0].tolist()]}, dtype=object)
 
     posted = cut(docs.mapInPandas(post, "rid long, place int, suffix long"))
-    again = posted.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1")
-    found = posted.join(again, "suffix").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("place", (F.col("n") > HOT).alias("often")))).alias("all"))
+    found = repeated(posted, "suffix", "n").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("place", (F.col("n") > HOT).alias("often")))).alias("all"))
     found = cut(found.select("rid", F.col("all.place").alias("places"), F.col("all.often").alias("often")))
     # a sample of documents with about SAMPLE suffixes sets the bounds of the buckets
     rate = max(1, n // (SAMPLE // 25))

@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.llm import fingerprint, jaccard, langid, mixing, packing, sharding, substring, urlfilter, vectors, warc
-from lexigrove.llm.common import Union, components
+from lexigrove.llm import common, fingerprint, jaccard, langid, mixing, packing, sharding, substring, urlfilter, vectors, warc
+from lexigrove.llm.common import Union, components, repeated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, size long, ent long, component_id string, b int"
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,17 @@ def test_components(spark):
     assert got == {x: u.find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("heavy", [1000, 10, 1])
+def test_repeated(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    keys = [7] * 500 + [3, 3, 4, None, None] + list(range(10, 900))
+    df = spark.createDataFrame([(k, v) for v, k in enumerate(keys)], "k long, v long")
+    n = Counter(k for k in keys if k is not None)
+    got = {r["v"]: (r["k"], r["n"]) for r in repeated(df, "k", "n").collect()}
+    assert got == {v: (k, n[k]) for v, k in enumerate(keys) if n[k] > 1}
+    assert repeated(df.limit(0), "k", "n").count() == 0
+
+
 def test_sharding(docs, empty):
     table = sharding.lookup_table([f"s{k}" for k in range(7)], 101)
     assert max(Counter(table).values()) - min(Counter(table).values()) <= 1
