@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from bisect import bisect_right
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,8 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import batches, grouped, parts, repeated
 from lexigrove.session import cut, cut_by
 
-#: Bytes of a passage. Each has an anchor, the least of the GRAM-byte strings that start in its first
-#: WINDOW bytes, and holds at least DEPTH bytes from there on.
-LENGTH, GRAM, WINDOW = 400, 16, 200
-DEPTH = LENGTH - WINDOW
+#: Bytes of a passage.
+LENGTH = 400
 #: An anchor's suffix that occurs more often has its passages dealt out by their hashes.
 HOT = 200
 #: Passages of a text that are hashed at a time, and bits that hold a place among them.
@@ -33,6 +32,39 @@ TABLE = np.random.Generator(np.random.PCG64(17)).integers(1, 2**63, 256, dtype=n
 _powers: list[np.ndarray] = []
 
 
+class Kind(NamedTuple):
+    """Passages of `length` symbols: the bytes of a text (unit 1), or hashes of its words (unit 8, bytes of one). Each
+    passage has an anchor, the least of the strings of `gram` symbols that start in its first `window` ones, and
+    holds at least `depth` symbols from there on. Places and lengths count symbols."""
+
+    length: int
+    gram: int
+    window: int
+    unit: int
+
+    @property
+    def depth(self) -> int:
+        return self.length - self.window
+
+    @property
+    def head(self) -> int:
+        return max(HEAD, 3 * self.unit)
+
+    def raw(self, text: str | None) -> bytes:
+        raw = (text or "").encode()
+        return raw if self.unit == 1 else word_hashes(raw).tobytes()
+
+
+def of_bytes(length: int) -> Kind:
+    window = max(1, length // 2)
+    return Kind(length, min(16, length - window + 1, max(1, length - window)), window, 1)
+
+
+def of_words(length: int) -> Kind:
+    window = max(1, length * 5 // 8)
+    return Kind(length, min(4, max(1, length - window)), window, 8)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -49,46 +81,68 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Text:
-    """Hashes of all substrings of some bytes."""
+    """Hashes of all substrings of some symbols."""
 
-    def __init__(self, raw: bytes):
-        b = np.frombuffer(raw, np.uint8)
+    def __init__(self, raw: bytes, unit: int = 1):
+        b = TABLE[np.frombuffer(raw, np.uint8)] if unit == 1 else np.frombuffer(raw, np.uint64)
         up, self.down = powers(len(b))
         self.n = len(b)
-        self.sums = np.concatenate([[U(0)], np.cumsum(TABLE[b] * up[:-1], dtype=np.uint64)])
+        self.sums = np.concatenate([[U(0)], np.cumsum(b * up[:-1], dtype=np.uint64)])
 
-    def hashes(self, at: np.ndarray | slice, size: int) -> np.ndarray:
+    def hashes(self, at: np.ndarray | slice, size: int | np.ndarray) -> np.ndarray:
         if isinstance(at, slice):
             a, b = at.start, at.stop
             return _mix((self.sums[a + size : b + size] - self.sums[a:b]) * self.down[a:b])
         return _mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchors, and the first and last passage start that has each, of PART passages at most."""
-        count = self.n - LENGTH + 1
-        grams = count + WINDOW - 1
-        value = (self.hashes(slice(0, grams), GRAM) >> PLACE << PLACE) | np.arange(grams, dtype=np.uint64)
-        pad = np.full(-(-grams // WINDOW) * WINDOW, ~U(0))
+        count, window = self.n - kind.length + 1, kind.window
+        grams = count + window - 1
+        value = (self.hashes(slice(0, grams), kind.gram) >> PLACE << PLACE) | np.arange(grams, dtype=np.uint64)
+        pad = np.full(-(-grams // window) * window, ~U(0))
         pad[:grams] = value
-        rows = pad.reshape(-1, WINDOW)
+        rows = pad.reshape(-1, window)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[:count], ahead[WINDOW - 1 : WINDOW - 1 + count])
+        least = np.minimum(back[:count], ahead[window - 1 : window - 1 + count])
         a = (least & ((U(1) << PLACE) - U(1))).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         return a[first], first, np.append(first[1:], count) - 1
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, the first and last passage start that has each, and the hash of the DEPTH bytes from each. A text
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start and end."""
+    b = np.frombuffer(raw, np.uint8)
+    inside = (b != 32) & ((b < 9) | (b > 13))
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word, of about PART bytes at a time."""
+    start, end = word_bounds(raw)
+    out = np.zeros(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        lo = start[k]
+        to = max(k + 1, int(np.searchsorted(end, lo + PART, "right")))
+        out[k:to] = Text(raw[lo : end[to - 1]]).hashes(start[k:to] - lo, end[k:to] - start[k:to])
+        k = to
+    return out
+
+
+def anchors(raw: bytes, kind: Kind = of_bytes(LENGTH)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, the first and last passage start that has each, and the hash of the `depth` symbols from each. A text
     of any length is hashed PART passages at a time."""
-    count = len(raw) - LENGTH + 1
+    unit = kind.unit
+    count = len(raw) // unit - kind.length + 1
     none = np.zeros(0, np.int64)
     found = [(none, none, none, none.astype(np.uint64))]
     for at in range(0, count, PART):
-        t = Text(raw[at : min(at + PART, count) + LENGTH - 1])
-        anchor, first, last = t.anchors()
-        part = [anchor + at, first + at, last + at, t.hashes(anchor, DEPTH)]
+        t = Text(raw[at * unit : (min(at + PART, count) + kind.length - 1) * unit], unit)
+        anchor, first, last = t.anchors(kind)
+        part = [anchor + at, first + at, last + at, t.hashes(anchor, kind.depth)]
         before = found[-1]
         if len(before[0]) and before[0][-1] == part[0][0]:  # an anchor that the part before has, too
             before[2][-1] = part[2][0]
@@ -187,13 +241,13 @@ def merge_runs(runs: list[list[tuple]]):
             node //= 2
 
 
-def repeated_windows(blocks: list[tuple[bytes, int]]) -> list[np.ndarray]:
-    """For blocks (bytes, place of the anchor in them) with DEPTH bytes in common from their anchors on:
+def repeated_windows(blocks: list[tuple[bytes, int]], kind: Kind) -> list[np.ndarray]:
+    """For blocks (bytes, place of the anchor in them) with `depth` symbols in common from their anchors on:
     which of each block's passages is in another block too."""
     hashes, offsets, owner = [], [], []
     for k, (raw, anchor) in enumerate(blocks):
-        count = len(raw) - LENGTH + 1
-        hashes.append(Text(raw).hashes(slice(0, count), LENGTH))
+        count = len(raw) // kind.unit - kind.length + 1
+        hashes.append(Text(raw, kind.unit).hashes(slice(0, count), kind.length))
         offsets.append(anchor - np.arange(count))
         owner.append(np.full(count, k))
     key = _mix(np.concatenate(hashes) ^ np.concatenate(offsets).astype(np.uint64) * U(BASE))
@@ -203,18 +257,19 @@ def repeated_windows(blocks: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return np.split(many, np.cumsum([len(h) for h in hashes])[:-1])
 
 
-def spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of passages with these sorted starts, neighbours joined."""
+def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Ranges of passages with these sorted starts, neighbours joined."""
     if not len(starts):
         return []
     cuts = np.flatnonzero(np.diff(starts) > 1)
     first, last = starts[np.concatenate([[0], cuts + 1])], starts[np.append(cuts, len(starts) - 1)]
-    return [(int(a), int(b) + LENGTH) for a, b in zip(first, last, strict=True)]
+    return [(int(a), int(b) + length) for a, b in zip(first, last, strict=True)]
 
 
-def suffix_rows(frames, bounds: list[bytes], buckets: int):
+def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
     """Rows (bucket, kind, data, rid, start, end) of documents with repeated suffixes: kind 0 are sorted,
     front-coded runs of suffixes, 1 passages that are repeated within this task, 2 hashes of passages."""
+    unit, length = kind.unit, kind.length
     blocks: dict[tuple[bytes, int], list] = {}
     hot: list[tuple[int, np.ndarray, np.ndarray]] = []
     held = 0
@@ -223,21 +278,20 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int):
         nonlocal held
         local, items = [], []
         for (raw, anchor), refs in blocks.items():
-            last = len(raw) - LENGTH
             if len(refs) > 1:
-                local += [(rid, lo, lo + last + LENGTH) for rid, lo in refs]
-            items.append((raw[anchor:], raw[:anchor], *refs[0], len(refs)))
+                local += [(rid, lo, lo + len(raw) // unit) for rid, lo in refs]
+            items.append((raw[anchor * unit :], raw[: anchor * unit], *refs[0], len(refs)))
         items.sort(key=lambda x: x[0])
         dealt: dict[int, list] = {}
         for x in items:
-            dealt.setdefault(bisect_right(bounds, x[0][:HEAD]), []).append(x)
+            dealt.setdefault(bisect_right(bounds, x[0][: kind.head]), []).append(x)
         out = [(b, 0, zlib.compress(pickle.dumps(encode_run(x), 5), 1), 0, 0, 0) for b, x in dealt.items()]
         if hot:
             rid = np.concatenate([np.full(len(p), r) for r, p, _ in hot])
             start, h = np.concatenate([p for _, p, _ in hot]), np.concatenate([h for _, _, h in hot])
             _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             many = np.flatnonzero(n[inverse] > 1)
-            local += _runs(rid[many], start[many])
+            local += _runs(rid[many], start[many], length)
             # one of each passage goes on
             h, rid, start = h[first], rid[first], start[first]
             bucket = (h % U(buckets)).astype(np.int64)
@@ -254,32 +308,32 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int):
 
     for frame in frames:
         for rid, text, places, often in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["often"], strict=True):
-            raw = (text or "").encode()
-            anchor, first, last, _ = anchors(raw)
+            raw = kind.raw(text)
+            anchor, first, last, _ = anchors(raw, kind)
             at = np.searchsorted(anchor, np.asarray(places, np.int64))
             for k, much in zip(at.tolist(), list(often), strict=True):
                 lo, hi = int(first[k]), int(last[k])
                 if much:
                     p = np.arange(lo, hi + 1)
-                    hot.append((rid, p, Text(raw[lo : hi + LENGTH]).hashes(slice(0, len(p)), LENGTH)))
+                    hot.append((rid, p, Text(raw[lo * unit : (hi + length) * unit], unit).hashes(slice(0, len(p)), length)))
                     held += (hi - lo + 1) // 25 + 1
                 else:
-                    blocks.setdefault((raw[lo : hi + LENGTH], int(anchor[k]) - lo), []).append((rid, lo))
+                    blocks.setdefault((raw[lo * unit : (hi + length) * unit], int(anchor[k]) - lo), []).append((rid, lo))
                     held += 1
             if held >= RUN:
                 yield flush()
     yield flush()
 
 
-def _runs(rid: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+def _runs(rid: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     order = np.lexsort((start, rid))
     rid, start = rid[order], start[order]
     cuts = np.flatnonzero(np.diff(rid)) + 1
-    return [(int(rid[p[0]]), a, b) for p in np.split(np.arange(len(rid)), cuts) if len(p) for a, b in spans(np.unique(start[p]))]
+    return [(int(rid[p[0]]), a, b) for p in np.split(np.arange(len(rid)), cuts) if len(p) for a, b in spans(np.unique(start[p]), length)]
 
 
-def resolve(frames):
-    """Rows (rid, start, end): byte ranges of repeated passages, from the rows of suffix_rows by bucket."""
+def resolve(frames, passages: Kind):
+    """Rows (rid, start, end): ranges of repeated passages, from the rows of suffix_rows by bucket."""
     for rows in grouped(frames, ["bucket"]):
         kind = int(rows["kind"].iloc[0])
         out: list[tuple[int, int, int]] = []
@@ -290,41 +344,41 @@ def resolve(frames):
             h, rid, start = np.concatenate([np.frombuffer(zlib.decompress(d), np.int64).reshape(3, -1) for d in rows["data"]], axis=1)
             _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
             many = n[inverse] > 1
-            out = _runs(rid[many], start[many])
+            out = _runs(rid[many], start[many], passages.length)
         else:
             group: list[tuple] = []
             for item in merge_runs([pickle.loads(zlib.decompress(d)) for d in rows["data"]]):
-                if item[1] < DEPTH and group:
-                    out += _settle(group)
+                if item[1] < passages.depth * passages.unit and group:
+                    out += _settle(group, passages)
                     group = []
                 group.append(item)
-            out += _settle(group)
+            out += _settle(group, passages)
         yield pd.DataFrame(out, columns=["rid", "start", "end"])
 
 
-def _settle(group: list[tuple]) -> list[tuple[int, int, int]]:
+def _settle(group: list[tuple], kind: Kind) -> list[tuple[int, int, int]]:
     if len(group) < 2 or all(n > 1 for *_, n in group):
         return []
-    many = repeated_windows([(left + suffix, len(left)) for suffix, _, left, *_ in group])
-    return [(rid, lo + a, lo + b) for (_, _, _, rid, lo, n), m in zip(group, many, strict=True) if n == 1 for a, b in spans(np.flatnonzero(m))]
+    many = repeated_windows([(left + suffix, len(left) // kind.unit) for suffix, _, left, *_ in group], kind)
+    return [(rid, lo + a, lo + b) for (_, _, _, rid, lo, n), m in zip(group, many, strict=True) if n == 1 for a, b in spans(np.flatnonzero(m), kind.length)]
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end)."""
+def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end), in symbols."""
     n = docs.count()
     buckets = parts(n, BUCKET_DOCS, 12)
 
     def post(frames):
         for frame in frames:
-            found = [anchors((text or "").encode()) for text in frame["text"]]
-            place, suffix = (np.concatenate([np.zeros(0, kind), *(x[k] for x in found)]) for k, kind in ((0, np.int64), (3, np.uint64)))
+            found = [anchors(kind.raw(text), kind) for text in frame["text"]]
+            place, suffix = (np.concatenate([np.zeros(0, dtype), *(x[k] for x in found)]) for k, dtype in ((0, np.int64), (3, np.uint64)))
             rid = np.repeat(frame["rid"].to_numpy(np.int64), [len(x[0]) for x in found])
             yield pd.DataFrame({"rid": rid, "place": place, "suffix": suffix.view(np.int64)})
 
     def heads(frames):
         for frame in frames:
-            raws = [(t or "").encode() for t in frame["text"]]
-            yield pd.DataFrame({"head": [r[a : a + HEAD] for r in raws for a in anchors(r)[0].tolist()]}, dtype=object)
+            raws, unit = [kind.raw(t) for t in frame["text"]], kind.unit
+            yield pd.DataFrame({"head": [r[a * unit : a * unit + kind.head] for r in raws for a in anchors(r, kind)[0].tolist()]}, dtype=object)
 
     posted = cut(docs.mapInPandas(post, "rid long, place int, suffix long"))
     found = repeated(posted, "suffix", "n").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("place", (F.col("n") > HOT).alias("often")))).alias("all"))
@@ -335,9 +389,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
     bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
 
-    rows = docs.join(found, "rid").mapInPandas(lambda f: suffix_rows(f, bounds, buckets), "bucket long, kind int, data binary, rid long, start long, end long")
+    rows = docs.join(found, "rid").mapInPandas(lambda f: suffix_rows(f, bounds, buckets, kind), "bucket long, kind int, data binary, rid long, start long, end long")
     dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
-    ranges = dealt.mapInPandas(resolve, "rid long, start long, end long")
+    ranges = dealt.mapInPandas(lambda f: resolve(f, kind), "rid long, start long, end long")
     return ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
@@ -355,12 +409,27 @@ def without(text: str | None, starts, ends) -> tuple[bytes, int, int]:
     return left, len(raw), runs
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    """docs, which have a rid and a text, and the arrays starts and ends of their ranges, or null. Texts are
-    shuffled once, to buckets of rid, and not again for the joins."""
+def _with_ranges(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """docs, which have a rid and a text, and the arrays starts and ends of their ranges, or null; with `words`
+    also first and last, of passages of so many words, in words. Texts are shuffled once, to buckets of rid,
+    and not again for the joins."""
     docs = cut_by(docs, "rid", parts(docs.count(), TABLE_DOCS, 12))
-    ranges = cut(repeated_ranges(docs.select("rid", "text")))
-    return docs.join(ranges.select("rid", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends")), "rid", "left")
+    out = docs
+    for kind, a, b in [(of_bytes(LENGTH), "starts", "ends")] + ([(of_words(words), "first", "last")] if words else []):
+        ranges = cut(repeated_ranges(docs.select("rid", "text"), kind))
+        out = out.join(ranges.select("rid", F.col("ranges.start").alias(a), F.col("ranges.end").alias(b)), "rid", "left")
+    return out
+
+
+def byte_ranges(text: str, starts, ends, first, last) -> list[tuple[int, int]]:
+    """Sorted byte ranges: those of starts and ends, and those from word `first` up to the word `last`, with the white
+    space before that."""
+    out = [] if starts is None else [(int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
+    if first is not None:
+        raw = text.encode()
+        at = np.append(word_bounds(raw)[0], len(raw))
+        out += [(int(at[a]), int(at[b])) for a, b in zip(first, last, strict=True)]
+    return sorted(out)
 
 
 def strip_passages(docs: DataFrame) -> DataFrame:
@@ -368,8 +437,8 @@ def strip_passages(docs: DataFrame) -> DataFrame:
 
     Every byte is removed that a LENGTH-byte string covers which starts elsewhere too, in the same document
     or another. A string's anchor follows from its bytes alone, so equal strings have equal anchors: suffixes
-    from anchors of which DEPTH bytes occur again are sorted, in runs that are exchanged front-coded by ranges
-    of their first bytes and merged; neighbours with DEPTH bytes in common then tell which strings occur twice.
+    from anchors of which half as many bytes occur again are sorted, in runs that are exchanged front-coded by ranges
+    of their first bytes and merged; neighbours with so many bytes in common then tell which strings occur twice.
     Suffixes that a task holds several times it settles itself and sends once.
     Cases: null text is empty; texts below LENGTH bytes are kept whole; of copies nothing is left; repeated
     rows are copies of one another; a null doc_id is kept; an empty table gives no rows.
@@ -389,22 +458,34 @@ def strip_passages(docs: DataFrame) -> DataFrame:
     return got.select(F.col("d").cast("long").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated passages cut out (bytes that no longer form a character go, too);
-    those of which nothing is left go. n_chars, where there is one, counts what stays. All columns stay, under
-    whatever names."""
+def without_passages(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """The documents with their repeated passages cut out: LENGTH-byte strings (bytes that no longer form a character
+    go, too) and, with `words`, also runs of so many words, however short, whatever white space is between them.
+    Those of which nothing is left go, after a cut of words also those of which only white space is. n_chars, where
+    there is one, counts what stays. All columns stay, under whatever names."""
     batches(docs.sparkSession)
 
-    def cut_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        rows = zip(text, starts, ends, strict=True)
-        return pd.Series([None if a is None else without(t, a, b)[0].decode("utf-8", "ignore") for t, a, b in rows], dtype=object)
+    def cut_text(text: pd.Series, starts: pd.Series, ends: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b, c, d in zip(text, starts, ends, first, last, strict=True):
+            if a is None and c is None:
+                out.append(None)
+                continue
+            ranges = byte_ranges(t, a, b, c, d)
+            left = without(t, [x for x, _ in ranges], [x for _, x in ranges])[0]
+            out.append("" if c is not None and not left.strip() else left.decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
 
     # not to be worked out for the filter and again for the column
     shortened = F.pandas_udf(cut_text, "string").asNondeterministic()
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.struct(*others).alias("row"))
-    hurt = F.when(F.col("starts").isNotNull(), F.col("text"))  # other texts need not go to Python
-    got = _with_ranges(rows).withColumn("stays", shortened(hurt, "starts", "ends")).where("stays is null or stays <> ''")
+    got = _with_ranges(rows, words)
+    if not words:
+        none = F.lit(None).cast("array<long>")
+        got = got.withColumns({"first": none, "last": none})
+    hurt = F.when(F.col("starts").isNotNull() | F.col("first").isNotNull(), F.col("text"))  # other texts need not go to Python
+    got = got.withColumn("stays", shortened(hurt, "starts", "ends", "first", "last")).where("stays is null or stays <> ''")
     cols = {c: F.col("row")[c] for c in others} | {"text": F.coalesce("stays", "text")}
     if "n_chars" in others:
         cols["n_chars"] = F.when(F.col("stays").isNotNull(), F.length("stays").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])

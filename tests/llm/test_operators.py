@@ -175,6 +175,38 @@ def test_substrings(docs, empty, monkeypatch, hot):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == texts
 
 
+@pytest.mark.parametrize("hot", [200, 1])
+def test_passages_of_words(spark, monkeypatch, hot):
+    """Runs of 51 words go, however short the words are; 50 words and clean documents stay."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "BUCKET_DOCS", 3)
+    r = random.Random(4)
+    short = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3))) for _ in range(200)]
+    text = lambda n: " ".join(r.choice(short) for _ in range(n))
+    p, q, w = text(51), text(50), text(130)
+    rows = [f"u1 {text(30)} u2 {p} u3 {text(30)}", f"v1 {text(30)} v2\n{p.replace(' ', '  ')}\tv3 {text(70)}", p, f" {p}\n"]
+    rows += [f"m1 {q} m2 {text(20)}", f"n1 {q} n2", f"o1 {w} o2 {w} o3", text(600), text(40), "", None, "x" * 700 + " y", "z " + "x" * 700]
+    rows += [f"é{k} {p} e{k}" for k in range(6)]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(rows)], "doc_id long, text string, n_chars long")
+    seen = Counter(tuple(w[k : k + 51]) for t in rows for w in [(t or "").split()] for k in range(len(w) - 50))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    for k, t in enumerate(rows):
+        words = (t or "").split()
+        hit = {k for a in range(len(words) - 50) if seen[tuple(words[a : a + 51])] > 1 for k in range(a, a + 51)}
+        if k in (11, 12):  # long words: the 400 bytes that both share go still
+            assert "x" * 400 not in got[k][0]
+        elif hit:
+            left = [x for i, x in enumerate(words) if i not in hit]
+            assert got[k][0].split() == left and got[k][1] == len(got[k][0]) if left else k not in got
+        elif t == "":
+            assert got[k] == ("", 0)
+        else:
+            assert got[k][0] == t
+    assert {2, 3}.isdisjoint(got) and {4, 5, 7, 8} <= set(got)
+
+
 def test_anchors_in_parts(monkeypatch):
     r = random.Random(9)
     texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 399, 400, 401, 3000)] + [b"x" * 2500, b"ab" * 900]
