@@ -20,6 +20,10 @@ from lexigrove.llm.common import batches
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 50_000, 50_000, 5
 #: Below this score a document counts as rejected.
 LEAST_SCORE = 0.5
+#: So does one whose share of words known in the language told, with SLACK more words counted as known, is below
+#: LEAST_KNOWN times the median of (at most) TRIAL_DOCS held-out labelled documents, of TRIAL_CHARS characters each.
+#: The score is near 1 for any text of some words; the share does not grow with length.
+LEAST_KNOWN, SLACK, TRIAL_DOCS, TRIAL_CHARS = 0.45, 2, 500, 2000
 LETTERS = regex.compile(r"\p{L}+")
 CACHE = 500_000
 
@@ -47,11 +51,14 @@ class Model:
             top = sorted(table.items(), key=lambda x: (-sum(x[1]), x[0]))[: MAX_GRAMS if size else MAX_WORDS]
             counts = np.array([v for _, v in top], dtype=float).reshape(len(top), len(index)) + 0.5
             parts.append(([k for k, _ in top], np.log(counts / counts.sum(axis=0))))
-        self.fill(self.langs, parts)
-
-    def fill(self, langs: list[str], parts: list) -> None:
-        """parts: keys and a matrix of log-frequencies, for words and then for each n; compact to send."""
-        self.langs, self.parts = langs, parts
+            if not size:
+                seen = counts > 0.5
+        self.fill(self.langs, parts, seen)
+
+    def fill(self, langs: list[str], parts: list, seen: np.ndarray) -> None:
+        """parts: keys and a matrix of log-frequencies, for words and then for each n; seen: which languages have each
+        word; compact to send."""
+        self.langs, self.parts, self.seen = langs, parts, seen
         self.tables = [{k: i for i, k in enumerate(keys)} for keys, _ in parts]
         self.floor = np.full(len(langs), -math.log(max(2, len(langs))))
 
@@ -68,6 +75,19 @@ class Model:
                 return self.parts[size][1][found].mean(axis=0)
         return self.floor
 
+    def known(self, word: str) -> np.ndarray:
+        """Which languages have the word."""
+        at = self.tables[0].get(word)
+        return np.zeros(len(self.langs), bool) if at is None else self.seen[at]
+
+    def share(self, text: str) -> float:
+        """The plain form of detect()'s share of known words; 0 without a word."""
+        words, lang = LETTERS.findall((text or "").lower()), self.scores(text)[0]
+        if lang not in self.langs:
+            return 0.0
+        at = self.langs.index(lang)
+        return (sum(bool(self.known(w)[at]) for w in words) + SLACK) / (len(words) + SLACK)
+
     def scores(self, text: str) -> tuple[str, float]:
         """The plain form of what detect() does in batches."""
         words = LETTERS.findall((text or "").lower())
@@ -93,9 +113,9 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
     return Model([(x["lang"], r["word"], x["n"]) for r in top for x in r["by"]])
 
 
-def detector(spark, model: Model):
-    """A column function from text to struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast((model.langs, model.parts))
+def detector(spark, model: Model, known: bool = False):
+    """A column function from text to struct(lang_pred, score), with `known` also the share of known words."""
+    shared = spark.sparkContext.broadcast((model.langs, model.parts, model.seen))
     langs = model.langs
     width = len(langs)
 
@@ -104,17 +124,22 @@ def detector(spark, model: Model):
         own.fill(*shared.value)
         cache: dict[str, int] = {}
         store = np.zeros((1024, width + 1))
+        marks = np.zeros((1024, width), np.int32)
 
         def row(word: str) -> int:
-            nonlocal store
+            nonlocal store, marks
             found = LETTERS.findall(word.lower())
             if len(cache) >= len(store):
                 store = np.concatenate([store, np.zeros_like(store)])
+                if known:
+                    marks = np.concatenate([marks, np.zeros_like(marks)])
             k = cache[word] = len(cache)
             store[k] = 0
             for p in found:
                 store[k, :width] += own.word(p)
             store[k, width] = len(found)
+            if known:
+                marks[k] = sum((own.known(p) for p in found), np.zeros(width, np.int32))
             return k
 
         for texts in columns:
@@ -131,10 +156,14 @@ def detector(spark, model: Model):
             p = np.exp(total - total.max(axis=1, keepdims=True))
             best = total.argmax(axis=1)
             names = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-            yield pd.DataFrame({"lang_pred": names, "score": np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)})
+            out = pd.DataFrame({"lang_pred": names, "score": np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)})
+            if known:
+                hits = np.bincount(doc, marks[at, best[doc]], len(texts)) if width else np.zeros(len(texts))
+                out["known"] = np.where(has, (hits + SLACK) / (sums[:, width] + SLACK), 0.0)
+            yield out
 
     batches(spark, 3000)
-    return F.pandas_udf(run, "lang_pred string, score double")
+    return F.pandas_udf(run, "lang_pred string, score double" + ", known double" * known)
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -150,8 +179,19 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "told_.lang_pred", "told_.score")
 
 
+def least_known(docs: DataFrame, model: Model, folds: int = 5) -> float:
+    """The share of known words below which a text is in no known language, by the held-out fold, of which the model
+    has learnt nothing; 0 without a labelled document there."""
+    rows = docs.where(F.col("lang").isin(model.langs) & (fold(F.col("doc_id"), folds) == 0))
+    trial = rows.select("doc_id", F.substring("text", 1, TRIAL_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRIAL_DOCS)
+    shares = [x for r in trial.collect() if (x := model.share(r["text"]))]
+    return LEAST_KNOWN * float(np.median(shares)) if shares else 0.0
+
+
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is told with a score of `least` or more; all columns stay."""
-    told = detector(docs.sparkSession, train(docs))
-    good = (F.col("told_.lang_pred") != "und") & (F.col("told_.score") >= least)
+    """The documents whose language is told with a score of `least` or more and whose words that language has, as far
+    as the share of them tells; all columns stay."""
+    model = train(docs)
+    told = detector(docs.sparkSession, model, known=True)
+    good = (F.col("told_.lang_pred") != "und") & (F.col("told_.score") >= least) & (F.col("told_.known") >= least_known(docs, model))
     return docs.withColumn("told_", told("text")).where(good).select(*docs.columns)

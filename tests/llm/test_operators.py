@@ -94,6 +94,21 @@ def test_language(spark, docs, empty):
     assert held.where("lang = lang_pred").count() >= 0.97 * held.count()
 
 
+def test_unlearned_language(spark):
+    """Documents in a language that the model never learnt go; held-out ones in the others stay."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
+    docs = real.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))).cache()
+    kept = langid.keep_identified(docs).select("doc_id").cache()
+    lost = docs.join(kept, "doc_id", "left_anti")
+    held = docs.where(F.col("lang").isNotNull() & (langid.fold(F.col("doc_id")) == 0))
+    print("es", docs.where("lang is null").count(), "go", lost.where("lang is null").count(), "held out", held.count(), "go", held.join(lost, "doc_id", "left_semi").count())
+    assert lost.where("lang is null").count() >= 0.9 * docs.where("lang is null").count()
+    assert held.join(lost, "doc_id", "left_semi").count() <= 0.01 * held.count()
+    model = langid.train(docs)
+    told = docs.limit(50).select("text", langid.detector(spark, model, known=True)("text")["known"].alias("known")).collect()
+    assert all(abs(r["known"] - model.share(r["text"])) < 1e-9 for r in told)
+
+
 def _vectors(r):
     base = r.normal(size=(40, 16))
     near = np.concatenate([base[:8] + r.normal(size=(8, 16)) * s for s in (0.02, 0.05, 0.08, 0.1, 0.12)])
