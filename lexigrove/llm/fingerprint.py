@@ -33,7 +33,9 @@ def sketch(text: str) -> np.ndarray:
 
     Every k-mer with its occurrence number is hashed; the hash deals it to one of TUPLES groups (one
     permutation in place of one for each tuple). Of each group the PER smallest are taken, in the order in
-    which they stand in the text, and hashed together. A text shorter than K is one k-mer.
+    which they stand in the text, and hashed together. A group with fewer k-mers, as in short texts, takes the rest
+    from all others by an order of its own, so that a tuple keeps order and texts of any lengths compare. A text
+    shorter than K is one k-mer.
     """
     out = np.zeros(TUPLES, dtype=np.uint16)
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -75,6 +77,14 @@ def sketch(text: str) -> np.ndarray:
     take = first[:, None] + np.arange(PER)
     has = take < ends[:, None]
     take = np.minimum(take, len(item) - 1)
+    few = np.flatnonzero(ends - first < PER)
+    if len(few):
+        g = few.astype(np.uint64)[:, None]
+        own = item[None, :] >> U(64 - BITS) == g
+        key = np.where(own, item >> U(1), (_mix(item + (g + U(1)) * ODD[3]) >> U(1)) | U(1 << 63))
+        n = min(PER, len(item))
+        take[few, :n] = np.argsort(key, axis=1, kind="stable")[:, :n]
+        has[few, :n] = True
     where = np.where(has, pos[take], ~U(0))
     value = np.take_along_axis(np.where(has, item[take], U(0)), np.argsort(where, axis=1, kind="stable"), axis=1)
     v = np.zeros(TUPLES, dtype=np.uint64)

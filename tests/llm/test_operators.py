@@ -384,6 +384,21 @@ def test_fingerprints(docs, empty, spark):
     assert like(a, a) == 1 and like(a, a[:3900]) > 0.8 and like(a, swapped) < like(a, a[:1990] + "zz" + a[1992:])
 
 
+def test_fingerprints_of_short_texts():
+    """Halves of a short text that change places show; texts of different lengths still compare."""
+    r = random.Random(2)
+    like = lambda x, y: fingerprint.likeness(fingerprint.sketch(x), fingerprint.sketch(y))
+    for n, most in ((40, 0.35), (80, 0.4), (150, 0.5)):
+        texts = ["".join(r.choice("abcdefghij ") for _ in range(n)) for _ in range(60)]
+        swapped = np.mean([like(t, t[n // 2 :] + t[: n // 2]) for t in texts])
+        print(n, round(float(swapped), 2))
+        assert swapped < most
+        assert all(like(t, t) == 1 for t in texts)
+    long = ["".join(r.choice("abcdefghij ") for _ in range(500)) for _ in range(20)]
+    assert np.mean([like(t, t[:450]) for t in long]) > 0.7
+    assert len(set(fingerprint.sketch("abc"))) >= 1 and not fingerprint.sketch("").any()
+
+
 def test_queries_match_sql(spark, duck, same):
     from lexigrove.llm.queries import QUERIES, SQL
 
