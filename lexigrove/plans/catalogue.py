@@ -318,6 +318,15 @@ def range_flat_multiset(spark, sf_dir):
     return hierarchy.descendants_with_repeats(edges(spark, sf_dir), ROOT)
 
 
+@query()
+def range_flat_multiset_diamond(spark, sf_dir):
+    """The same walk where the root's first child also has a child of its last one, whose species come twice."""
+    e = edges(spark, sf_dir).select("parent", "child", "is_species")
+    first, last = e.where(F.col("parent") == ROOT).agg(F.min("child"), F.max("child")).first()
+    shared = e.where(F.col("parent") == last).select(F.lit(first).alias("parent"), "child", "is_species").orderBy("child").limit(1)
+    return hierarchy.descendants_with_repeats(e.union(shared), ROOT)
+
+
 @query("SELECT p_partkey, replace(p_name, ' ', chr(160)) AS raw, p_name AS clean FROM part WHERE p_name NOT LIKE '%' || chr(10) || '%'")
 def clean_taxon(spark, sf_dir):
     raw = F.regexp_replace("p_name", " ", " ")
