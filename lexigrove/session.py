@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,25 +31,87 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset on a single machine, as in tests,
+    a temporary folder that goes when the process ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         path = tempfile.mkdtemp(prefix="lexigrove-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Scratch scopes that are open, the innermost last.
+_open: list[Scratch] = []
+
+
+class Scratch:
+    """A scope at whose end the tables go that cut() and cut_by() wrote in it, but for those given to keep(), which
+    belong to the scope around it from then on, or to the caller. What a kept table is made from must be kept, too,
+    unless it is a table that was written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, {}
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        at = df.__dict__.get("written_at")
+        if at in self.made:
+            name = self.made.pop(at)
+            if len(_open) > 1:
+                _open[-2].made[at] = name
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this scope that nothing reads any more."""
+        at = df.__dict__.get("written_at")
+        if at in self.made:
+            remove(self.spark, at, self.made.pop(at))
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        for at, name in self.made.items():
+            remove(self.spark, at, name)
+
+
+def remove(spark: SparkSession, path: str, name: str | None = None) -> None:
+    """Delete a written table's folder, and its entry in the catalog if it has one."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, path: str, name: str | None) -> DataFrame:
+    df.__dict__["written_at"] = path
+    if _open:
+        _open[-1].made[path] = name
+    return df
+
+
+def _settings(spark: SparkSession, values: dict[str, str]) -> dict[str, str | None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return before
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later failures restart from here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    try:  # nothing reads this write's shuffles again
-        spark.conf.set(CLEAN, "true")
+    before = _settings(spark, {CLEAN: "true"})  # nothing reads this write's shuffles again
+    try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _settings(spark, before)
+    return _written(spark.read.schema(df.schema).parquet(path), path, None)
 
 
 #: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
@@ -58,15 +123,15 @@ def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     There are as many buckets as shuffle partitions at least."""
     spark = df.sparkSession
     name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     buckets = min(MOST_BUCKETS, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    before = spark.conf.get(CLEAN, None)
+    before = _settings(spark, {CLEAN: "true"})
     try:
-        spark.conf.set(CLEAN, "true")
         dealt = df.repartition(buckets, key)  # as bucketBy deals out: one file for each bucket
-        dealt.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        dealt.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.table(name)
+        _settings(spark, before)
+    return _written(spark.table(name), path, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
