@@ -13,32 +13,48 @@ from lexigrove.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def batches(spark, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch between Spark and Python, and Spark's own default for it.
+BATCH_BYTES, UNSET = "4194304b", "67108864b"
+
+
+def batches(spark) -> None:
+    """Arrow batches of about BATCH_BYTES, so that a batch of long texts stays small, unless the session has a setting
+    of its own. All operators use the same, so that it does not matter which was called last; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == UNSET:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+#: Most partitions that an operator deals anything out to.
+MOST_PARTS = 100_000
 
 
 def parts(n: int, each: int, least: int = 1) -> int:
-    """Number of buckets so that n items make buckets of about `each`."""
-    return max(least, -(-n // each))
+    """Number of buckets so that n items make buckets of about `each`, MOST_PARTS at most."""
+    return min(MOST_PARTS, max(least, -(-n // each)))
 
 
 #: Keys that hold more than one HEAVY-th of all rows each are fewer than HEAVY, whatever the data.
 HEAVY = 1000
 
 
-def repeated(df: DataFrame, key: str, n: str) -> DataFrame:
-    """The rows of df whose key (a long) is in several rows, with n, how many. df must be a written table.
+def counted(df: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows of df whose key (a long) isn't null, with n, how many rows have it. df must be a written table.
 
     Rows are counted before they are shuffled. The counts of keys with over one HEAVY-th of all rows, fewer than
     HEAVY of them, are broadcast, so that such a key's rows stay where they are; other rows meet their
-    counts in a join. Null keys go; an empty table gives no rows.
+    counts in a join, which holds the several rows of a key only. An empty table gives no rows.
     """
-    counts = cut(df.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
     much = counts.where(F.col(n) > df.count() / HEAVY)
-    marked = df.join(F.broadcast(much), key, "left")
-    few = marked.where(F.col(n).isNull()).drop(n).join(counts, key)
-    return few.unionByName(marked.where(F.col(n).isNotNull()))
+    marked = df.where(F.col(key).isNotNull()).join(F.broadcast(much), key, "left")
+    few = marked.where(F.col(n).isNull()).drop(n).join(counts.join(much.select(key), key, "left_anti"), key, "left")
+    return few.withColumn(n, F.coalesce(n, F.lit(1).cast("long"))).unionByName(marked.where(F.col(n).isNotNull()))
+
+
+def repeated(df: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows of counted() whose key is in several rows."""
+    return counted(df, key, n).where(F.col(n) > 1)
 
 
 def components(edges: DataFrame) -> DataFrame:

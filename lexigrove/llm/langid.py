@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -15,87 +14,116 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm.common import batches
 
-#: The model learns from at most TRAIN_DOCS labelled documents (those with the smallest hashes) and keeps
-#: the MAX_WORDS words and the MAX_GRAMS n-grams of each length that are most frequent there.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 50_000, 50_000, 5
+#: The model learns from at most TRAIN_DOCS labelled documents (those with the smallest hashes), all their words and
+#: all n-grams of up to LONGEST characters of these.
+TRAIN_DOCS, LONGEST = 10_000, 5
 #: Below this score a document counts as rejected.
 LEAST_SCORE = 0.5
 #: So does one whose share of words known in the language told, with SLACK more words counted as known, is below
-#: LEAST_KNOWN times the median of (at most) TRIAL_DOCS held-out labelled documents, of TRIAL_CHARS characters each.
+#: LEAST_KNOWN times the median of (at most) TRIAL_DOCS held-out labelled documents.
 #: The score is near 1 for any text of some words; the share does not grow with length.
-LEAST_KNOWN, SLACK, TRIAL_DOCS, TRIAL_CHARS = 0.45, 2, 500, 2000
-LETTERS = regex.compile(r"\p{L}+")
-CACHE = 500_000
+LEAST_KNOWN, SLACK, TRIAL_DOCS = 0.45, 2, 500
+#: Characters of texts whose words are held at a time; longer texts are taken in portions, cut at white space.
+SLICE = 2_000_000
+SPACE = regex.compile(r"\s")
+U = np.uint64
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class Words:
+    """Words of letters as code points, each with ^ before and $ after it, one after the other."""
+
+    def __init__(self, words: pa.Array):
+        words = words.cast(pa.large_string())
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.n, self.size = len(size), size + 2
+        self.start = np.cumsum(self.size) - self.size
+        self.points = np.zeros(int(self.size.sum()), np.uint64)
+        self.points[self.start], self.points[self.start + self.size - 1] = ord("^"), ord("$")
+        inner = np.ones(len(self.points), bool)
+        inner[self.start] = inner[self.start + self.size - 1] = False
+        self.points[inner] = letters
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word."""
+        if not self.n:
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.points)) - np.repeat(self.start, self.size)
+        each = _mix(self.points + place.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        return _mix(np.add.reduceat(each, self.start) + self.size.astype(np.uint64))
+
+    def grams(self, n: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each n-gram of the words `of`, and its word's place in `of`. ^ and $ alone are none."""
+        count = np.maximum(self.size[of] - n + 1, 0)
+        who = np.repeat(np.arange(len(of)), count)
+        at = np.repeat(self.start[of] - (np.cumsum(count) - count), count) + np.arange(len(who))
+        h = np.full(len(at), U(n))
+        for k in range(n):
+            h = _mix((h * U(0x9E3779B97F4A7C15)) ^ self.points[at + k])
+        if n == 1:
+            letter = (self.points[at] != ord("^")) & (self.points[at] != ord("$"))
+            h, who = h[letter], who[letter]
+        return h, who
+
+
 class Model:
-    """Log-frequencies by language: words, and for each n the n-grams of words with ^ and $ around them."""
+    """Log-frequencies by language: words, and for each n the n-grams of words with ^ and $ around them.
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in rows})
+    Tables are sorted 64-bit hashes and, for each, a row of log-frequencies (counts plus one half)."""
+
+    def __init__(self, lang: list[str], word: pa.Array, n: np.ndarray):
+        self.langs = sorted(set(lang))
+        coded = word.dictionary_encode()
+        words = Words(coded.dictionary)
+        by = np.zeros((words.n, len(self.langs)))
         index = {x: k for k, x in enumerate(self.langs)}
-        tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-        for lang, word, n in rows:
-            at, marked = index[lang], f"^{word}$"
-            for size, table in enumerate(tables):
-                for k in range(len(marked) - size + 1 if size else 1):
-                    gram = marked[k : k + size] if size else word
-                    counts = table.get(gram) or table.setdefault(gram, [0] * len(index))
-                    counts[at] += n
-        parts = []
-        for size, table in enumerate(tables):
-            top = sorted(table.items(), key=lambda x: (-sum(x[1]), x[0]))[: MAX_GRAMS if size else MAX_WORDS]
-            counts = np.array([v for _, v in top], dtype=float).reshape(len(top), len(index)) + 0.5
-            parts.append(([k for k, _ in top], np.log(counts / counts.sum(axis=0))))
+        np.add.at(by, (coded.indices.to_numpy(zero_copy_only=False), np.array([index[x] for x in lang], dtype=np.int64)), n)
+        self.tables = []
+        for size in range(LONGEST + 1):
+            h, who = words.grams(size, np.arange(words.n)) if size else (words.hashes(), np.arange(words.n))
+            keys, place = np.unique(h, return_inverse=True)
+            counts = np.stack([np.bincount(place, by[who, k], len(keys)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(keys), 0))
+            if not size:
+                self.seen = counts > 0
+            counts += 0.5
+            self.tables.append((keys, np.log(counts / counts.sum(axis=0))))
+
+    def scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its log-frequencies by language, and which languages have it. A word that isn't known takes
+        the mean over its known n-grams of the largest n that has any; one of unknown characters says nothing."""
+        width = len(self.langs)
+        out = np.full((words.n, width), -math.log(max(2, width)))
+        seen = np.zeros((words.n, width), bool)
+        open_ = np.arange(words.n)
+        for size in [0, *range(LONGEST, 0, -1)]:
+            keys, values = self.tables[size]
+            if not len(open_) or not len(keys):
+                break
+            h, who = words.grams(size, open_) if size else (words.hashes(), open_)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            at, who = at[hit], who[hit]
             if not size:
-                seen = counts > 0.5
-        self.fill(self.langs, parts, seen)
-
-    def fill(self, langs: list[str], parts: list, seen: np.ndarray) -> None:
-        """parts: keys and a matrix of log-frequencies, for words and then for each n; seen: which languages have each
-        word; compact to send."""
-        self.langs, self.parts, self.seen = langs, parts, seen
-        self.tables = [{k: i for i, k in enumerate(keys)} for keys, _ in parts]
-        self.floor = np.full(len(langs), -math.log(max(2, len(langs))))
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one word: its own log-frequencies, else the mean over its known n-grams of the
-        largest n that has any; a word of unknown characters says nothing."""
-        if (known := self.tables[0].get(word)) is not None:
-            return self.parts[0][1][known]
-        marked = f"^{word}$"
-        for size in range(min(LONGEST, len(marked)), 0, -1):
-            table = self.tables[size]
-            found = [table[g] for k in range(len(marked) - size + 1) if (g := marked[k : k + size]) in table and g not in "^$"]
-            if found:
-                return self.parts[size][1][found].mean(axis=0)
-        return self.floor
-
-    def known(self, word: str) -> np.ndarray:
-        """Which languages have the word."""
-        at = self.tables[0].get(word)
-        return np.zeros(len(self.langs), bool) if at is None else self.seen[at]
-
-    def share(self, text: str) -> float:
-        """The plain form of detect()'s share of known words; 0 without a word."""
-        words, lang = LETTERS.findall((text or "").lower()), self.scores(text)[0]
-        if lang not in self.langs:
-            return 0.0
-        at = self.langs.index(lang)
-        return (sum(bool(self.known(w)[at]) for w in words) + SLACK) / (len(words) + SLACK)
-
-    def scores(self, text: str) -> tuple[str, float]:
-        """The plain form of what detect() does in batches."""
-        words = LETTERS.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        total = sum((self.word(w) for w in words), np.zeros(len(self.langs)))
-        p = np.exp(total - total.max())
-        return self.langs[int(total.argmax())], float(p.max() / p.sum())
+                out[who], seen[who] = values[at], self.seen[at]
+                found = np.zeros(words.n, bool)
+                found[who] = True
+            else:
+                count = np.bincount(who, minlength=len(open_))
+                found = count > 0
+                sums = np.stack([np.bincount(who, values[at, k], len(open_)) for k in range(width)], axis=1)
+                out[open_[found]] = sums[found] / count[found, None]
+            open_ = open_[~found]
+        return out, seen
 
 
 def train(docs: DataFrame, folds: int = 5) -> Model:
@@ -107,63 +135,72 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
         .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
         .groupBy("word", "lang")
         .agg(F.count("*").alias("n"))
+        .toArrow()
     )
-    per_word = words.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top = per_word.orderBy(F.col("all").desc(), "word").limit(MAX_WORDS).collect()
-    return Model([(x["lang"], r["word"], x["n"]) for r in top for x in r["by"]])
-
-
-def detector(spark, model: Model, known: bool = False):
-    """A column function from text to struct(lang_pred, score), with `known` also the share of known words."""
-    shared = spark.sparkContext.broadcast((model.langs, model.parts, model.seen))
-    langs = model.langs
-    width = len(langs)
-
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Model.__new__(Model)
-        own.fill(*shared.value)
-        cache: dict[str, int] = {}
-        store = np.zeros((1024, width + 1))
-        marks = np.zeros((1024, width), np.int32)
-
-        def row(word: str) -> int:
-            nonlocal store, marks
-            found = LETTERS.findall(word.lower())
-            if len(cache) >= len(store):
-                store = np.concatenate([store, np.zeros_like(store)])
-                if known:
-                    marks = np.concatenate([marks, np.zeros_like(marks)])
-            k = cache[word] = len(cache)
-            store[k] = 0
-            for p in found:
-                store[k, :width] += own.word(p)
-            store[k, width] = len(found)
-            if known:
-                marks[k] = sum((own.known(p) for p in found), np.zeros(width, np.int32))
-            return k
-
+    return Model(words["lang"].to_pylist(), words["word"].combine_chunks(), words["n"].to_numpy())
+
+
+def portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with their places, SLICE characters or so at a time; a longer text comes in pieces."""
+    at, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        start = 0
+        while True:
+            room = SLICE - size
+            m = SPACE.search(text, start + room) if len(text) - start > room else None
+            end = m.start() if m else len(text)
+            at.append(k)
+            held.append(text[start:end])
+            size += end - start
+            start = end
+            if size >= SLICE or m:
+                yield at, held
+                at, held, size = [], [], 0
+            if not m:
+                break
+    if at:
+        yield at, held
+
+
+def tell(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language, the posterior of it, and the share of its words that the language has, with SLACK more."""
+    width = len(model.langs)
+    total, hits, count = np.zeros((len(texts), max(1, width))), np.zeros((len(texts), max(1, width))), np.zeros(len(texts))
+    for at, held in portions(texts) if width else ():
+        chunks = pc.utf8_split_whitespace(pa.array(held, pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        words = pc.split_pattern_regex(pc.utf8_lower(coded.dictionary), r"\P{L}+")
+        flat, sizes = words.flatten(), np.diff(np.asarray(words.offsets))
+        chunk = np.repeat(np.arange(len(sizes)), sizes)
+        some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        flat, chunk = flat.filter(pa.array(some)).dictionary_encode(), chunk[some]
+        score, seen = model.scores(Words(flat.dictionary))
+        place = flat.indices.to_numpy(zero_copy_only=False)
+        token = coded.indices.to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.asarray(at), np.diff(np.asarray(chunks.offsets)))
+        sums = lambda x: np.bincount(doc, np.bincount(chunk, x, len(sizes))[token], len(texts))  # noqa: E731, B023
+        count += sums(np.ones(len(place)))
+        for k in range(width):
+            total[:, k] += sums(score[place, k])
+            hits[:, k] += sums(seen[place, k])
+    best = total.argmax(axis=1)
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    has = count > 0
+    known = np.where(has, (hits[np.arange(len(texts)), best] + SLACK) / (count + SLACK), 0.0)
+    return [model.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0), known
+
+
+def detector(spark, model: Model):
+    """A column function from text to struct(lang_pred, score, known)."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
-            if len(cache) > CACHE:
-                cache.clear()
-            words = pc.utf8_split_whitespace(pa.array(texts.fillna(""), pa.large_string()))
-            coded = words.flatten().dictionary_encode()
-            ids = np.fromiter((cache[w] if w in cache else row(w) for w in coded.dictionary.to_pylist()), np.int64)
-            at = ids[coded.indices.to_numpy(zero_copy_only=False)] if len(ids) else ids
-            doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(words.offsets)))
-            sums = np.stack([np.bincount(doc, store[at, k], len(texts)) for k in range(width + 1)], axis=1)
-            has = (sums[:, width] > 0) & bool(width)
-            total = sums[:, :width] if width else np.zeros((len(texts), 1))
-            p = np.exp(total - total.max(axis=1, keepdims=True))
-            best = total.argmax(axis=1)
-            names = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-            out = pd.DataFrame({"lang_pred": names, "score": np.where(has, p.max(axis=1) / p.sum(axis=1), 0.0)})
-            if known:
-                hits = np.bincount(doc, marks[at, best[doc]], len(texts)) if width else np.zeros(len(texts))
-                out["known"] = np.where(has, (hits + SLACK) / (sums[:, width] + SLACK), 0.0)
-            yield out
-
-    batches(spark, 3000)
-    return F.pandas_udf(run, "lang_pred string, score double" + ", known double" * known)
+            lang, score, known = tell(shared.value, pc.fill_null(texts, "").to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(known)], ["lang_pred", "score", "known"])
+
+    batches(spark)
+    return F.arrow_udf(run, "lang_pred string, score double, known double")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -171,27 +208,33 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
 
     Cases: null text, and text without a letter, are `und` with score 0; a null doc_id is never learnt
     from and is not held out; without any labelled row everything is `und`; repeated rows get equal results;
-    ties go to the language first in code-point order; an empty table gives no rows; other columns are not read.
+    ties go to the language first in code-point order; texts of any length are taken in portions; an empty table gives
+    no rows; other columns are not read.
     """
     told = detector(docs.sparkSession, train(docs, folds))
-    out = docs.select("doc_id", "text").withColumn("told_", told("text"))
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "told_.lang_pred", "told_.score")
+    return docs.select("doc_id", held.alias("held_out"), told("text").alias("told")).select("doc_id", "held_out", "told.lang_pred", "told.score")
 
 
 def least_known(docs: DataFrame, model: Model, folds: int = 5) -> float:
     """The share of known words below which a text is in no known language, by the held-out fold, of which the model
     has learnt nothing; 0 without a labelled document there."""
     rows = docs.where(F.col("lang").isin(model.langs) & (fold(F.col("doc_id"), folds) == 0))
-    trial = rows.select("doc_id", F.substring("text", 1, TRIAL_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRIAL_DOCS)
-    shares = [x for r in trial.collect() if (x := model.share(r["text"]))]
-    return LEAST_KNOWN * float(np.median(shares)) if shares else 0.0
+    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRIAL_DOCS)
+    told = detector(docs.sparkSession, model)
+    shares = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(told("text").alias("told")).select("told.known").where("known > 0").collect()
+    return LEAST_KNOWN * float(np.median([r[0] for r in shares])) if shares else 0.0
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with a score of `least` or more and whose words that language has, as far
-    as the share of them tells; all columns stay."""
+    as the share of them tells; all columns stay, under whatever names.
+
+    Cases: null text and text without a letter go, and everything where no row is labelled; rows with a null doc_id or
+    lang are judged as all others; repeated rows stay or go together; an empty table gives no rows.
+    """
     model = train(docs)
-    told = detector(docs.sparkSession, model, known=True)
-    good = (F.col("told_.lang_pred") != "und") & (F.col("told_.score") >= least) & (F.col("told_.known") >= least_known(docs, model))
-    return docs.withColumn("told_", told("text")).where(good).select(*docs.columns)
+    told = detector(docs.sparkSession, model)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), told("text").alias("told"))
+    good = (F.col("told.lang_pred") != "und") & (F.col("told.score") >= least) & (F.col("told.known") >= least_known(docs, model))
+    return rows.where(good).select(*(F.col("row")[c].alias(c) for c in docs.columns))
