@@ -38,23 +38,30 @@ def parts(n: int, each: int, least: int = 1) -> int:
 HEAVY = 1000
 
 
-def counted(df: DataFrame, key: str, n: str) -> DataFrame:
-    """The rows of df whose key (a long) isn't null, with n, how many rows have it. df must be a written table.
+def attach(df: DataFrame, key: str, values: DataFrame, rows: str) -> DataFrame:
+    """df with the columns of values (key, ..., rows), one row for each key (a long), null where it has none; `rows` is how
+    many rows of df have the key. df and values must be written tables.
 
-    Rows are counted before they are shuffled. The counts of keys with over one HEAVY-th of all rows, fewer than
-    HEAVY of them, are broadcast, so that such a key's rows stay where they are; other rows meet their
-    counts in a join, which holds the several rows of a key only. An empty table gives no rows.
+    The values of keys with over one HEAVY-th of all rows, fewer than HEAVY of them, are broadcast, so that such a
+    key's rows stay where they are; other rows meet their values in a join. Rows with a null key go.
     """
-    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
-    much = counts.where(F.col(n) > df.count() / HEAVY)
+    much = values.where(F.col(rows) > df.count() / HEAVY)
     marked = df.where(F.col(key).isNotNull()).join(F.broadcast(much), key, "left")
-    few = marked.where(F.col(n).isNull()).drop(n).join(counts.join(much.select(key), key, "left_anti"), key, "left")
-    return few.withColumn(n, F.coalesce(n, F.lit(1).cast("long"))).unionByName(marked.where(F.col(n).isNotNull()))
+    few = marked.where(F.col(rows).isNull()).select(*df.columns).join(values.join(much.select(key), key, "left_anti"), key, "left")
+    return few.unionByName(marked.where(F.col(rows).isNotNull()))
+
+
+def counted(df: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows of df, a written table, whose key isn't null, with n, how many rows have it. Rows are counted before
+    they are shuffled, and join as attach() tells. An empty table gives no rows."""
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
+    return attach(df, key, counts, n).withColumn(n, F.coalesce(n, F.lit(1).cast("long")))
 
 
 def repeated(df: DataFrame, key: str, n: str) -> DataFrame:
     """The rows of counted() whose key is in several rows."""
-    return counted(df, key, n).where(F.col(n) > 1)
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1))
+    return attach(df, key, counts, n).where(F.col(n).isNotNull())
 
 
 def components(edges: DataFrame) -> DataFrame:

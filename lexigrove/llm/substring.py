@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections.abc import Iterator
 from bisect import bisect_right
 from typing import NamedTuple
 
@@ -12,18 +13,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import batches, grouped, parts, repeated
-from lexigrove.session import cut, cut_by
+from lexigrove.llm.common import attach, batches, grouped, parts, repeated
+from lexigrove.session import Scratch, cut, cut_by
 
 #: Bytes of a passage.
 LENGTH = 400
-#: An anchor's suffix that occurs more often has its passages dealt out by their hashes.
-HOT = 200
+#: Suffixes that go on in more than HOT different ways are told apart by more bytes: their passages are divided among
+#: SPLIT suffixes each, which have more bytes in common, and so on; a suffix of all bytes goes on in one way.
+HOT, SPLIT = 200, 8
 #: Passages of a text that are hashed at a time, and bits that hold a place among them.
 PART, PLACE = 1 << 18, np.uint64(20)
 #: Suffixes that a task sorts into one run, documents for each bucket, bytes that tell buckets apart,
 #: suffixes that the bounds of the buckets are taken from.
-RUN, BUCKET_DOCS, HEAD, SAMPLE = 40_000, 1_500, 12, 50_000
+RUN, BUCKET_DOCS, HEAD, SAMPLE = 40_000, 1_500, 64, 50_000
 #: Documents of one task where texts are read.
 TABLE_DOCS = 4_500
 U = np.uint64
@@ -46,9 +48,30 @@ class Kind(NamedTuple):
     def depth(self) -> int:
         return self.length - self.window
 
-    @property
-    def head(self) -> int:
-        return max(HEAD, 3 * self.unit)
+    def width(self, level: int) -> int:
+        """How many neighbouring passages share a suffix at a level."""
+        w = self.window
+        for _ in range(level):
+            w = -(-w // SPLIT)
+        return w
+
+    def deep(self, level: int) -> int:
+        """How many symbols of a suffix are in all its passages."""
+        return self.length - self.width(level) + 1 if level else self.depth
+
+    def parts(self, low: int, level: int) -> Iterator[tuple[int, int]]:
+        """The ranges of the next level in that from `low` on: of how far a passage starts before its anchor."""
+        high, w = self.top(low, level), self.width(level + 1)
+        return ((a, min(high, a + w)) for a in range(low, high, w))
+
+    def top(self, low: int, level: int) -> int:
+        """The end of the range of a level that starts at `low`."""
+        a, high = 0, self.window
+        for k in range(1, level + 1):
+            w = self.width(k)
+            a += (low - a) // w * w
+            high = min(high, a + w)
+        return high
 
     def raw(self, text: str | None) -> bytes:
         raw = (text or "").encode()
@@ -266,94 +289,94 @@ def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(first, last, strict=True)]
 
 
+def merged(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(rid, start, end) in order, those that touch or overlap joined."""
+    out: list[tuple[int, int, int]] = []
+    for rid, a, b in sorted(rows):
+        if out and out[-1][0] == rid and a <= out[-1][2]:
+            if b > out[-1][2]:
+                out[-1] = (rid, out[-1][1], b)
+        else:
+            out.append((rid, a, b))
+    return out
+
+
+class Posts(NamedTuple):
+    """A text's symbols, anchors, and the first and last passage start of each."""
+
+    raw: bytes
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @staticmethod
+    def of(text: str | None, kind: Kind) -> Posts:
+        raw = kind.raw(text)
+        return Posts(raw, *anchors(raw, kind)[:3])
+
+    def block(self, place: int, low: int, high: int, kind: Kind) -> tuple[bytes, int, int] | None:
+        """Of the passages that start low..high-1 symbols before an anchor: their symbols, where the suffix that all
+        share starts among these, and the first passage's start. None if there is no such passage."""
+        k = int(np.searchsorted(self.anchor, place))
+        lo, hi = max(int(self.first[k]), place - high + 1), min(int(self.last[k]), place - low)
+        if lo > hi:
+            return None
+        return self.raw[lo * kind.unit : (hi + kind.length) * kind.unit], place - low - lo, lo
+
+
 def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
     """Rows (bucket, kind, data, rid, start, end) of documents with repeated suffixes: kind 0 are sorted,
-    front-coded runs of suffixes, 1 passages that are repeated within this task, 2 hashes of passages."""
-    unit, length = kind.unit, kind.length
-    blocks: dict[tuple[bytes, int], list] = {}
-    hot: list[tuple[int, np.ndarray, np.ndarray]] = []
+    front-coded runs of suffixes, 1 passages that are repeated within this task."""
+    unit = kind.unit
+    blocks: dict[tuple[bytes, int, int], list] = {}
     held = 0
 
     def flush():
         nonlocal held
         local, items = [], []
-        for (raw, anchor), refs in blocks.items():
+        for (raw, at, level), refs in blocks.items():
             if len(refs) > 1:
                 local += [(rid, lo, lo + len(raw) // unit) for rid, lo in refs]
-            items.append((raw[anchor * unit :], raw[: anchor * unit], *refs[0], len(refs)))
+            items.append((raw[at * unit :], level, raw[: at * unit], *refs[0], len(refs)))
         items.sort(key=lambda x: x[0])
         dealt: dict[int, list] = {}
-        for x in items:
-            dealt.setdefault(bisect_right(bounds, x[0][: kind.head]), []).append(x)
+        for suffix, level, *rest in items:
+            dealt.setdefault(level * buckets + bisect_right(bounds, suffix[:HEAD]), []).append((suffix, *rest))
         out = [(b, 0, zlib.compress(pickle.dumps(encode_run(x), 5), 1), 0, 0, 0) for b, x in dealt.items()]
-        if hot:
-            rid = np.concatenate([np.full(len(p), r) for r, p, _ in hot])
-            start, h = np.concatenate([p for _, p, _ in hot]), np.concatenate([h for _, _, h in hot])
-            _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            many = np.flatnonzero(n[inverse] > 1)
-            local += _runs(rid[many], start[many], length)
-            # one of each passage goes on
-            h, rid, start = h[first], rid[first], start[first]
-            bucket = (h % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for part in np.split(order, cuts):
-                data = np.stack([h[part].view(np.int64), rid[part], start[part]]).tobytes()
-                out.append((int(bucket[part[0]]) + buckets, 2, zlib.compress(data, 1), 0, 0, 0))
-        out += [(-1 - rid % buckets, 1, b"", rid, a, b) for rid, a, b in local]
+        out += [(-1 - rid % buckets, 1, b"", rid, a, b) for rid, a, b in merged(local)]
         blocks.clear()
-        hot.clear()
         held = 0
         return pd.DataFrame(out, columns=["bucket", "kind", "data", "rid", "start", "end"])
 
     for frame in frames:
-        for rid, text, places, often in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["often"], strict=True):
-            raw = kind.raw(text)
-            anchor, first, last, _ = anchors(raw, kind)
-            at = np.searchsorted(anchor, np.asarray(places, np.int64))
-            for k, much in zip(at.tolist(), list(often), strict=True):
-                lo, hi = int(first[k]), int(last[k])
-                if much:
-                    p = np.arange(lo, hi + 1)
-                    hot.append((rid, p, Text(raw[lo * unit : (hi + length) * unit], unit).hashes(slice(0, len(p)), length)))
-                    held += (hi - lo + 1) // 25 + 1
-                else:
-                    blocks.setdefault((raw[lo * unit : (hi + length) * unit], int(anchor[k]) - lo), []).append((rid, lo))
-                    held += 1
+        for rid, text, entries in zip(frame["rid"].tolist(), frame["text"], frame["entries"], strict=True):
+            posts = Posts.of(text, kind)
+            for e in entries:
+                level, low = int(e["level"]), int(e["low"])
+                raw, at, lo = posts.block(int(e["place"]), low, kind.top(low, level), kind)
+                blocks.setdefault((raw, at, level), []).append((rid, lo))
+                held += 1
             if held >= RUN:
                 yield flush()
     yield flush()
 
 
-def _runs(rid: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    order = np.lexsort((start, rid))
-    rid, start = rid[order], start[order]
-    cuts = np.flatnonzero(np.diff(rid)) + 1
-    return [(int(rid[p[0]]), a, b) for p in np.split(np.arange(len(rid)), cuts) if len(p) for a, b in spans(np.unique(start[p]), length)]
-
-
-def resolve(frames, passages: Kind):
+def resolve(frames, kind: Kind, buckets: int):
     """Rows (rid, start, end): ranges of repeated passages, from the rows of suffix_rows by bucket."""
     for rows in grouped(frames, ["bucket"]):
-        kind = int(rows["kind"].iloc[0])
-        out: list[tuple[int, int, int]] = []
-        if kind == 1:
+        if int(rows["kind"].iloc[0]):
             yield rows[["rid", "start", "end"]]
             continue
-        if kind == 2:
-            h, rid, start = np.concatenate([np.frombuffer(zlib.decompress(d), np.int64).reshape(3, -1) for d in rows["data"]], axis=1)
-            _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-            many = n[inverse] > 1
-            out = _runs(rid[many], start[many], passages.length)
-        else:
-            group: list[tuple] = []
-            for item in merge_runs([pickle.loads(zlib.decompress(d)) for d in rows["data"]]):
-                if item[1] < passages.depth * passages.unit and group:
-                    out += _settle(group, passages)
-                    group = []
-                group.append(item)
-            out += _settle(group, passages)
-        yield pd.DataFrame(out, columns=["rid", "start", "end"])
+        out: list[tuple[int, int, int]] = []
+        deep = kind.deep(int(rows["bucket"].iloc[0]) // buckets) * kind.unit
+        group: list[tuple] = []
+        for item in merge_runs([pickle.loads(zlib.decompress(d)) for d in rows["data"]]):
+            if item[1] < deep and group:
+                out += _settle(group, kind)
+                group = []
+            group.append(item)
+        out += _settle(group, kind)
+        yield pd.DataFrame(merged(out), columns=["rid", "start", "end"])
 
 
 def _settle(group: list[tuple], kind: Kind) -> list[tuple[int, int, int]]:
@@ -363,36 +386,89 @@ def _settle(group: list[tuple], kind: Kind) -> list[tuple[int, int, int]]:
     return [(rid, lo + a, lo + b) for (_, _, _, rid, lo, n), m in zip(group, many, strict=True) if n == 1 for a, b in spans(np.flatnonzero(m), kind.length)]
 
 
-def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end), in symbols."""
-    n = docs.count()
-    buckets = parts(n, BUCKET_DOCS, 12)
+def _hash(raw: bytes, salt: int, kind: Kind) -> int:
+    h = Text(raw, kind.unit)
+    return int(_mix(h.hashes(np.zeros(1, np.int64), h.n) ^ U(salt) * U(BASE)).view(np.int64)[0])
+
+
+def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(rid, entries) for rows (rid, text) that have repeated suffixes; entries: level, place, low. Each level tells
+    those apart that go on in more than HOT ways at the level before."""
 
     def post(frames):
         for frame in frames:
             found = [anchors(kind.raw(text), kind) for text in frame["text"]]
             place, suffix = (np.concatenate([np.zeros(0, dtype), *(x[k] for x in found)]) for k, dtype in ((0, np.int64), (3, np.uint64)))
             rid = np.repeat(frame["rid"].to_numpy(np.int64), [len(x[0]) for x in found])
-            yield pd.DataFrame({"rid": rid, "place": place, "suffix": suffix.view(np.int64)})
+            yield pd.DataFrame({"rid": rid, "place": place, "low": np.zeros(len(rid), np.int64), "suffix": suffix.view(np.int64)})
+
+    def divide(level: int):
+        """Of each entry of a level its block's hash, and its parts at the next level."""
+        deep = kind.deep(level + 1)
+
+        def run(frames):
+            for frame in frames:
+                out = []
+                for rid, text, entries in zip(frame["rid"].tolist(), frame["text"], frame["entries"], strict=True):
+                    posts = Posts.of(text, kind)
+                    for e in entries:
+                        place, low = int(e["place"]), int(e["low"])
+                        raw, at, _ = posts.block(place, low, kind.top(low, level), kind)
+                        parts_ = []
+                        for a, b in kind.parts(low, level):
+                            if (part := posts.block(place, a, b, kind)) is not None:
+                                raw_, at_, _ = part
+                                parts_.append((a, _hash(raw_[at_ * kind.unit : (at_ + deep) * kind.unit], a, kind)))
+                        out.append((rid, place, low, e["suffix"], _hash(raw, at, kind), parts_))
+                yield pd.DataFrame(out, columns=["rid", "place", "low", "suffix", "block", "parts"])
+
+        return run
+
+    posted = cut(docs.mapInPandas(post, "rid long, place int, low int, suffix long"))
+    level, settled = 0, None
+    while True:
+        found = cut(repeated(posted, "suffix", "n"))
+        rest = found
+        if kind.width(level) > 1:
+            hot = found.where(F.col("n") > HOT).groupBy("rid").agg(F.collect_list(F.struct("place", "low", "suffix")).alias("entries"))
+            shape = "rid long, place int, low int, suffix long, block long, parts array<struct<low:int,suffix:long>>"
+            parts_ = cut(docs.join(hot, "rid").mapInPandas(divide(level), shape))
+            ways = parts_.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
+            ways = cut(ways)
+            rest = found.join(ways.where(F.col("ways") > HOT).select("suffix").hint("merge"), "suffix", "left_anti") if not ways.isEmpty() else found
+        rest = rest.select("rid", F.struct(F.lit(level).alias("level"), "place", "low").alias("e"))
+        settled = rest if settled is None else settled.union(rest)
+        if kind.width(level) == 1 or ways.where(F.col("ways") > HOT).isEmpty():
+            break
+        many = attach(parts_.select("rid", "place", "suffix", "parts"), "suffix", ways, "rows").where(F.col("ways") > HOT)
+        posted = cut(many.select("rid", "place", F.explode("parts").alias("p")).select("rid", "place", "p.low", "p.suffix"))
+        level += 1
+    return cut(settled.groupBy("rid").agg(F.sort_array(F.collect_list("e")).alias("entries")))
 
-    def heads(frames):
-        for frame in frames:
-            raws, unit = [kind.raw(t) for t in frame["text"]], kind.unit
-            yield pd.DataFrame({"head": [r[a * unit : a * unit + kind.head] for r in raws for a in anchors(r, kind)[0].tolist()]}, dtype=object)
 
-    posted = cut(docs.mapInPandas(post, "rid long, place int, suffix long"))
-    found = repeated(posted, "suffix", "n").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("place", (F.col("n") > HOT).alias("often")))).alias("all"))
-    found = cut(found.select("rid", F.col("all.place").alias("places"), F.col("all.often").alias("often")))
-    # a sample of documents with about SAMPLE suffixes sets the bounds of the buckets
-    rate = max(1, n // (SAMPLE // 25))
-    sample = docs.where(F.pmod(F.xxhash64("rid"), F.lit(rate)) == 0).mapInPandas(heads, "head binary")
-    heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
-    bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
+def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end), in symbols."""
+    buckets = parts(docs.count(), BUCKET_DOCS, 12)
 
-    rows = docs.join(found, "rid").mapInPandas(lambda f: suffix_rows(f, bounds, buckets, kind), "bucket long, kind int, data binary, rid long, start long, end long")
-    dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
-    ranges = dealt.mapInPandas(lambda f: resolve(f, kind), "rid long, start long, end long")
-    return ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+    def heads(frames):
+        for frame in frames:
+            out = []
+            for text, entries in zip(frame["text"], frame["entries"], strict=True):
+                raw = kind.raw(text)
+                out += [raw[(e["place"] - e["low"]) * kind.unit :][:HEAD] for e in entries]
+            yield pd.DataFrame({"head": out}, dtype=object)
+
+    with Scratch(docs.sparkSession) as scratch:
+        found = repeated_suffixes(docs, kind)
+        # a sample of documents with about SAMPLE suffixes sets the bounds of the buckets
+        rate = max(1, found.count() // (SAMPLE // 25))
+        sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(heads, "head binary")
+        heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
+        bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
+        rows = docs.join(found, "rid").mapInPandas(lambda f: suffix_rows(f, bounds, buckets, kind), "bucket long, kind int, data binary, rid long, start long, end long")
+        dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
+        ranges = dealt.mapInPandas(lambda f: resolve(f, kind, buckets), "rid long, start long, end long")
+        return scratch.keep(cut(ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))))
 
 
 def without(text: str | None, starts, ends) -> tuple[bytes, int, int]:
@@ -416,7 +492,7 @@ def _with_ranges(docs: DataFrame, words: int | None = None) -> DataFrame:
     docs = cut_by(docs, "rid", parts(docs.count(), TABLE_DOCS, 12))
     out = docs
     for kind, a, b in [(of_bytes(LENGTH), "starts", "ends")] + ([(of_words(words), "first", "last")] if words else []):
-        ranges = cut(repeated_ranges(docs.select("rid", "text"), kind))
+        ranges = repeated_ranges(docs.select("rid", "text"), kind)
         out = out.join(ranges.select("rid", F.col("ranges.start").alias(a), F.col("ranges.end").alias(b)), "rid", "left")
     return out
 
@@ -439,7 +515,8 @@ def strip_passages(docs: DataFrame) -> DataFrame:
     or another. A string's anchor follows from its bytes alone, so equal strings have equal anchors: suffixes
     from anchors of which half as many bytes occur again are sorted, in runs that are exchanged front-coded by ranges
     of their first bytes and merged; neighbours with so many bytes in common then tell which strings occur twice.
-    Suffixes that a task holds several times it settles itself and sends once.
+    Suffixes that go on in many ways are first divided into such with more bytes in common, until no group is large.
+    What a task holds several times it settles itself and sends once.
     Cases: null text is empty; texts below LENGTH bytes are kept whole; of copies nothing is left; repeated
     rows are copies of one another; a null doc_id is kept; an empty table gives no rows.
     """

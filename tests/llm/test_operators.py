@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, copies, odd texts and no rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -79,12 +80,67 @@ def test_sharding(docs, empty):
         sharding.lookup_table(["a"], 100)
 
 
-def test_language(spark, docs, empty):
+def _language_by_hand(learnt):
+    """The plain form of the method, in dictionaries: a function from text to language, score and share of known words."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({lang for _, lang in learnt})
+    tables = [Counter() for _ in range(6)]
+    for t, lang in learnt:
+        for w in words(t):
+            tables[0][w, lang] += 1
+            for n in range(1, 6):
+                for k in range(len(w) + 3 - n):
+                    g = f"^{w}$"[k : k + n]
+                    if g not in ("^", "$"):
+                        tables[n][g, lang] += 1
+    keys = [{g for g, _ in t} for t in tables]
+    total = [{x: sum(t[g, x] + 0.5 for g in k) for x in langs} for t, k in zip(tables, keys, strict=True)]
+    logs = lambda n, g, x: math.log((tables[n][g, x] + 0.5) / total[n][x])
+
+    def word(w):
+        if w in keys[0]:
+            return {x: logs(0, w, x) for x in langs}
+        for n in range(5, 0, -1):
+            grams = [g for k in range(len(w) + 3 - n) if (g := f"^{w}$"[k : k + n]) in keys[n]]
+            if grams:
+                return {x: sum(logs(n, g, x) for g in grams) / len(grams) for x in langs}
+        return dict.fromkeys(langs, 0.0)
+
+    def tell(t):
+        own = words(t)
+        if not own or not langs:
+            return "und", 0.0, 0.0
+        scores = [word(w) for w in own]
+        sums = [sum(s[x] for s in scores) for x in langs]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        known = sum((w, langs[best]) in tables[0] for w in own)
+        return langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums), (known + 2) / (len(own) + 2)
+
+    return tell
+
+
+def test_language(spark, docs, empty, monkeypatch):
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
+    rows = [*documents(), *documents()[:3], (None, "abc de fgh", "en", None, 1, 1, 2, 3, "x", 4)]
+    df = spark.createDataFrame(rows, DOCS)
+    tell = _language_by_hand([(t, lang) for k, t, lang, *_ in rows if lang and k is not None and not held(k)])
+    for slice_ in (langid.SLICE, 50):
+        monkeypatch.setattr(langid, "SLICE", slice_)
+        got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in langid.identify(df).collect())
+        want = Counter((k, held(k), *(lambda x: (x[0], round(x[1], 6)))(tell(t))) for k, t, *_ in rows)
+        if slice_ == 50:  # the driver's slice is not the workers'
+            model = langid.train(df)
+            told = langid.tell(model, [t or "" for _, t, *_ in rows])
+            assert all(a == tell(t)[0] and abs(b - tell(t)[1]) < 1e-6 and abs(c - tell(t)[2]) < 1e-9 for (_, t, *_), a, b, c in zip(rows, *told, strict=True))
+        assert got == want
+    clash = df.withColumns({"told": F.lit(1), "told_": F.lit(2), "row": F.lit(3)})
+    kept = langid.keep_identified(clash)
+    assert kept.columns == clash.columns and {tuple(r)[-3:] for r in kept.collect()} == {(1, 2, 3)}
+    assert langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+    assert langid.keep_identified(empty).count() == 0
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
-    model = langid.train(docs)
     for doc, text, *_ in documents():
-        lang, score = model.scores(text)
-        assert got[doc]["lang_pred"] == lang and abs(got[doc]["score"] - score) < 1e-6
+        lang = got[doc]["lang_pred"]
         assert got[doc]["held_out"] == (zlib.crc32(str(doc).encode()) % 5 == 0)
         assert (lang == "und") == (not re.search(r"[^\W\d_]", text or ""))
     assert langid.identify(empty).count() == 0
@@ -104,9 +160,6 @@ def test_unlearned_language(spark):
     print("es", docs.where("lang is null").count(), "go", lost.where("lang is null").count(), "held out", held.count(), "go", held.join(lost, "doc_id", "left_semi").count())
     assert lost.where("lang is null").count() >= 0.9 * docs.where("lang is null").count()
     assert held.join(lost, "doc_id", "left_semi").count() <= 0.01 * held.count()
-    model = langid.train(docs)
-    told = docs.limit(50).select("text", langid.detector(spark, model, known=True)("text")["known"].alias("known")).collect()
-    assert all(abs(r["known"] - model.share(r["text"])) < 1e-9 for r in told)
 
 
 def _vectors(r):
@@ -172,7 +225,7 @@ def _strip(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 2])
+@pytest.mark.parametrize("hot", [200, 1])
 def test_substrings(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT", hot)
     monkeypatch.setattr(substring, "BUCKET_DOCS", 10)
