@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Union, batches, components, grouped, parts
-from lexigrove.session import cut, cut_by
+from lexigrove.llm.common import Union, attach, batches, components, counted, grouped, parts, repeated
+from lexigrove.session import Scratch, cut, cut_by
 
 #: Words in a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -25,8 +25,8 @@ MEMBERS, QUERIES = 256, 256
 SAMPLE, HEAVY = 16, 1 << 20
 #: Tokens of about this many documents go to one bucket of postings.
 BUCKET_DOCS = 2_000
-#: Documents in an Arrow batch, and characters of which words are held at a time.
-BATCH, SLICE = 250, 2_000_000
+#: Characters of which words are held at a time, documents whose places one row of postings tells.
+SLICE, BATCH = 2_000_000, 1 << 16
 U = np.uint64
 
 
@@ -173,8 +173,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (a, b) between linked documents of (doc_id, ent, key) with one key, MEMBERS of which meet at a
     time. They need not be complete: each further round over the chunks' first documents would deal out all
     texts again, and what is left is found by candidates()."""
-    sizes = reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    tasks = cut(reps.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("ent"), F.ceil(F.col("size") / MEMBERS))))
+    tasks = cut(repeated(reps, "key", "size").withColumn("chunk", F.pmod(F.xxhash64("ent"), F.ceil(F.col("size") / MEMBERS))))
 
     def link(frames):
         for rows in grouped(with_sets(frames), ["key", "chunk"]):
@@ -202,17 +201,15 @@ def near_groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
     similar documents, those of a comp or else of a key, in chunks of MEMBERS, and the size of that chunk's whole."""
     comps, edges = reps.withColumn("comp", F.col("ent")), None
     for key in ("key", "key2"):
-        roots = comps.where("ent = comp").select("doc_id", "ent", F.col(key).alias("key"))
+        roots = cut(comps.where("ent = comp").select("doc_id", "ent", F.col(key).alias("key")))
         more = near_links(docs, roots)
         edges = more if edges is None else edges.union(more)
         found = components(edges).select(F.col("id").alias("ent"), F.col("component_id").alias("comp"))
         comps = cut(reps.join(found, "ent", "left").withColumn("comp", F.coalesce("comp", "ent")))
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("alike"))
-    comps = comps.join(sizes, "comp").withColumn("whole", F.when(F.col("alike") > 1, F.xxhash64(F.lit(1), "comp")).otherwise(F.xxhash64(F.lit(2), "key")))
-    sizes = comps.groupBy("whole").agg(F.count("*").alias("members"))
+    comps = cut(counted(comps, "comp", "alike").withColumn("whole", F.when(F.col("alike") > 1, F.xxhash64(F.lit(1), "comp")).otherwise(F.xxhash64(F.lit(2), "key"))))
     chunk = F.pmod(F.xxhash64("ent"), F.ceil(F.col("members") / MEMBERS))
     grp = F.when(F.col("members") > 1, F.xxhash64("whole", chunk)).otherwise(F.col("ent"))
-    return comps.join(sizes, "whole").withColumn("grp", grp).select("doc_id", "ent", "n", "comp", "grp", "members")
+    return counted(comps, "whole", "members").withColumn("grp", grp).select("doc_id", "ent", "n", "comp", "grp", "members")
 
 
 def candidates(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, weight: np.ndarray, buckets: int) -> DataFrame:
@@ -222,7 +219,7 @@ def candidates(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, weight: np.n
 
     def postings(frames):
         heavy, weight = shared.value
-        for frame in frames:
+        for frame in (f.iloc[k : k + BATCH] for f in frames for k in range(0, len(f), BATCH)):
             toks, rows = [], []
             for k, s in enumerate(shingle_sets(frame["text"])):
                 if len(s) and entity(s) == frame["ent"].iat[k]:
@@ -238,7 +235,7 @@ def candidates(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, weight: np.n
             table[:, 1:3] ^= table[:, :1]  # zero for a document alone, which costs next to nothing to shuffle
             out = []
             for a, b in zip(at, [*at[1:], len(t)], strict=True):
-                own, inverse = np.unique(who[a:b], return_inverse=True)  # a document's ids once for each bucket; a batch has BATCH rows
+                own, inverse = np.unique(who[a:b], return_inverse=True)  # a document's ids once for each bucket
                 out.append((int(bucket[a]), t[a:b].tobytes(), inverse.astype(np.uint16).tobytes(), table[own].tobytes("F")))
             yield pd.DataFrame(out, columns=["bucket", "tokens", "who", "ids"])
 
@@ -329,35 +326,42 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     group's token union covers enough of it. Every pair that links is found by these bounds, for any order of
     tokens. Sets are compared as 64-bit hashes of their shingles.
     Cases: null text and text without words have no shingles and a component of their own; rows of one
-    doc_id each keep their row; rows without a doc_id go; an empty table gives no rows; other columns are
-    not read.
+    doc_id each keep their row; rows without a doc_id link with nothing and have a null component; an empty table gives
+    no rows; other columns are not read.
     """
-    batches(docs.sparkSession, BATCH)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    spark = docs.sparkSession
+    batches(spark)
 
     def describe(frames):
         for frame in frames:
             sets = shingle_sets(frame["text"])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "ent": [entity(s) for s in sets], "key": [group_key(s, 21) if len(s) else 0 for s in sets], "key2": [group_key(s, 22) if len(s) else 0 for s in sets]})
-
-    sets = cut(docs.mapInPandas(describe, "doc_id long, n long, ent long, key long, key2 long"))
-    reps = cut(sets.where("n > 0").groupBy("ent", "n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
-    buckets = parts(sets.count(), BUCKET_DOCS, 24)
-    docs = cut_by(docs, "doc_id", buckets)  # texts are shuffled by doc_id once, not for each join
-    heavy, weight = frequent_tokens(docs, buckets)
-    reps = cut(near_groups(docs, reps))
-    found = cut(candidates(docs, reps, heavy, weight, buckets))
-    edges = open_groups(docs, reps, found)
-    edges = edges.union(reps.where("ent <> comp").select(F.col("ent").alias("a"), F.col("comp").alias("b")))
-    comps = components(edges).withColumnRenamed("id", "ent").withColumnRenamed("component_id", "root")
-    roots = reps.select("ent", "doc_id").join(comps, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("ent", "component_id")
-    return sets.join(named, "ent", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            ids = frame["doc_id"].astype("Int64")
+            yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "ent": [entity(s) for s in sets], "key": [group_key(s, 21) if len(s) else 0 for s in sets], "key2": [group_key(s, 22) if len(s) else 0 for s in sets]})
+
+    with Scratch(spark) as scratch:
+        rows = docs.select(F.col("doc_id").cast("string"), "text")  # ids may be null, and must not turn into floating-point numbers
+        sets = cut(rows.mapInPandas(describe, "doc_id long, n long, ent long, key long, key2 long"))
+        reps = cut(sets.where("n > 0 and doc_id is not null").groupBy("ent", "n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
+        buckets = parts(sets.count(), BUCKET_DOCS, 24)
+        docs = cut_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), "doc_id", buckets)  # texts are shuffled by doc_id once, not for each join
+        heavy, weight = frequent_tokens(docs, buckets)
+        reps = cut(near_groups(docs, reps))
+        found = cut(candidates(docs, reps, heavy, weight, buckets))
+        edges = open_groups(docs, reps, found)
+        edges = edges.union(reps.where("ent <> comp").select(F.col("ent").alias("a"), F.col("comp").alias("b")))
+        comps = components(edges).withColumnRenamed("id", "ent").withColumnRenamed("component_id", "root")
+        roots = reps.select("ent", "doc_id").join(comps, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+        least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        named = cut(roots.join(least, "root").select("ent", "component_id"))
+        # a set that very many documents have keeps them where they are
+        weights = sets.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.count("*").alias("rows"))
+        alike = attach(sets, "ent", cut(named.join(weights, "ent")), "rows")
+        own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+        return scratch.keep(cut(alike.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component; all columns stay. Repeated rows of one
-    doc_id all stay or go together."""
-    keep = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The documents with the smallest doc_id of their component; all columns stay, under whatever names. Repeated rows
+    of one doc_id all stay or go together; rows without a doc_id stay; so do those of null text and of no words."""
+    go = jaccard_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(go, docs["doc_id"] == go["gone_"], "left_anti")

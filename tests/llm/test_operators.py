@@ -195,21 +195,38 @@ def _shingles(text):
 
 
 @pytest.mark.parametrize("chunk", [64, 3])
-def test_jaccard(docs, empty, monkeypatch, chunk):
+def test_jaccard(spark, docs, empty, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "MEMBERS", chunk)
     monkeypatch.setattr(jaccard, "QUERIES", 2 * chunk)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "BATCH", 10 * chunk)
+    rows = [*documents(), *documents()[:3], *((None, *r[1:]) for r in documents()[25:31])]
     sets = {k: _shingles(t) for k, t, *_ in documents()}
     u = Union()
     for a, x in sets.items():
         for b, y in sets.items():
             if a < b and x and 100 * len(x & y) >= 80 * len(x | y):
                 u.join(a, b)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
-    assert got == {k: (len(s), u.find(k)) for k, s in sets.items()}
-    kept = jaccard.one_of_each(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k in sets if u.find(k) == k}
-    assert jaccard.jaccard_join(empty).count() == 0
+    df = spark.createDataFrame(rows, DOCS).withColumns({"gone_": F.lit(1), "key": F.lit(2)})
+    got = Counter(tuple(r) for r in jaccard.jaccard_join(df).collect())
+    assert got == Counter((k, len(_shingles(t)), None if k is None else u.find(k)) for k, t, *_ in rows)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((k, t) for k, t, *_ in rows if k is None or u.find(k) == k)
+    assert jaccard.jaccard_join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
+
+
+def test_long_text(spark):
+    """Words beyond SLICE characters, passages beyond PART bytes."""
+    r = random.Random(8)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(240_000))
+    rows = [(1, long), (2, long[:-200] + "zzz"), (3, long[1_000_000:1_000_500] + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    left = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substring.strip_passages(df).collect()}
+    assert left == {1: (len(long) - 200, 1), 2: (len(long) - 200, 1), 3: (500, 1)}
+    assert {r["doc_id"]: r["length"] for r in packing.pack_documents(df).groupBy("doc_id").agg(F.sum("length").alias("length")).collect()}[3] > 50
 
 
 def _strip(texts):
