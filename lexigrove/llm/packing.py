@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import batches, parts
-from lexigrove.session import cut
+from lexigrove.session import Scratch, cut
 
 LENGTH, END_ID = 2048, 0
 #: Words whose ids a worker keeps before it starts over.
-CACHE = 1_500_000
+CACHE = 500_000
 #: A worker's tokenizers, kept from task to task.
 WORKER: dict = {}
 #: Pieces that one task packs.
 SHARD_PIECES = 40_000
-#: Sequences of a first pass with at least this share of room are packed again.
-REOPEN = 0.02
+#: Sequences with at least this share of room are packed again, as long as that leaves GAIN less pieces to pack.
+REOPEN, GAIN = 0.02, 0.1
+#: Bits of a sequence's number within its shard.
+BINS = 32
 #: White space for str.split() but not for the tokenizer, which must see such texts whole.
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -118,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    batches(docs.sparkSession, 3000)
+    batches(docs.sparkSession)
     # ids may be null, and must not turn into floating-point numbers on their way
     kind = F.col("doc_id").cast("string").alias("d")
     return docs.select(kind, "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -158,18 +160,19 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> np.ndarray:
 
 
 def pack_pieces(cut_pieces: DataFrame, length: int = LENGTH, shard: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` column.
+    """Adds sequence_id and offset to rows with a `length` column. cut_pieces must be a written table.
 
     Shards of about `shard` pieces are packed each in a task of its own. What lies in sequences with room
-    left is then dealt out anew, to fewer shards, and packed again, so that what is left open does not grow
-    with the number of shards.
+    left is then dealt out anew, to as many shards as that takes, and packed again, so that what is left open does not
+    grow with the number of shards; a task never gets more than about `shard` pieces. It ends when all fit in one shard,
+    or when a pass has closed few of the sequences that it opened, as with pieces of which no two fit together.
     """
     cols = cut_pieces.columns
     schema = f"{cut_pieces._jdf.schema().toDDL()}, sequence_id long, offset long, fill long"
 
-    def packer(level: int):
+    def packer(before: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            base = int(frame["shard_"].iloc[0])
+            base = before + int(frame["shard_"].iloc[0])
             frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").drop(columns="shard_")
             sizes = frame["length"].to_numpy(dtype=np.int64)
             frame["b"] = sum_of_squares(sizes, length)
@@ -177,29 +180,26 @@ def pack_pieces(cut_pieces: DataFrame, length: int = LENGTH, shard: int = SHARD_
             ends = frame.groupby("b")["length"].cumsum()
             frame["offset"] = ends - frame["length"]
             frame["fill"] = frame.groupby("b")["length"].transform("sum")
-            frame["sequence_id"] = frame["b"] + (((level << 24) + base) << 36)
+            frame["sequence_id"] = frame["b"] + (base << BINS)
             return frame[[*cols, "sequence_id", "offset", "fill"]]
 
         return run
 
-    def dealt(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn("shard_", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)))
+    def dealt(df: DataFrame, n: int, seed: int) -> DataFrame:
+        # copies of a row go to several shards, too
+        return df.withColumn("shard_", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(seed)), F.lit(n)))
 
-    n = parts(cut_pieces.count(), shard)
-    done, rest, level = None, cut_pieces, 0
+    done, rest, size, before, level = None, cut_pieces, cut_pieces.count(), 0, 0
     while True:
-        got = cut(dealt(rest, n).groupBy("shard_").applyInPandas(packer(level), schema))
-        if n == 1:
-            full = got
-        else:
-            full = got.where(F.col("fill") >= (1 - REOPEN) * length)
-            rest = got.where(F.col("fill") < (1 - REOPEN) * length).select(*cols)
-        done = full if done is None else done.union(full)
-        if n == 1:
-            break
-        # fewer shards each time, so that this ends
-        level, n = level + 1, min(n // 2, parts(rest.count(), shard))
-    return done.drop("fill")
+        n = parts(size, shard)
+        got = cut(dealt(rest, n, level).groupBy("shard_").applyInPandas(packer(before), schema))
+        left = got.where(F.col("fill") < (1 - REOPEN) * length).select(*cols)
+        before, level, was = before + n, level + 1, size
+        size = left.count() if n > 1 else 0
+        if n == 1 or size == 0 or size > (1 - GAIN) * was and level > 1:
+            return (got if done is None else done.union(got)).drop("fill")
+        full = got.where(F.col("fill") >= (1 - REOPEN) * length)
+        done, rest = full if done is None else done.union(full), left
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -209,4 +209,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     id end_id; a null doc_id is kept; repeated rows are packed each; an empty table gives no rows; other
     columns are not read. sequence_id has no meaning but identity.
     """
-    return pack_pieces(cut(pieces(docs, tokenizer, length, end_id)), length)
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(cut(pack_pieces(cut(pieces(docs, tokenizer, length, end_id)), length)))

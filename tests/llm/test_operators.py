@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm import common, fingerprint, jaccard, langid, mixing, packing, sharding, substring, urlfilter, vectors, warc
 from lexigrove.llm.common import Union, components, repeated
+from lexigrove.session import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, size long, ent long, component_id string, b int"
 SF = "/root/testdata/sf0.001"
@@ -396,12 +397,24 @@ def test_packing(docs, empty):
 
 def test_packing_in_shards(docs, monkeypatch):
     one = packing.pack_documents(docs).select("sequence_id").distinct().count()
-    p = packing.pieces(docs)
+    p = cut(packing.pieces(docs))
     got = packing.pack_pieces(p, shard=20)
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).where("n > 2048 or n <> e").count() == 0
     assert got.count() == p.count() and got.select("sequence_id").distinct().count() <= one + 3
 
 
+def test_packing_of_pieces_that_do_not_pair(spark):
+    """Twelve shards of pieces of over half a sequence, and copies of one row: all get places, and no task all of them."""
+    rows = [(k, 0, 0, 1100 + k % 40, k) for k in range(470)] + [(7, 0, 0, 1100, 7)] * 10 + [(None, 0, 0, 900, 3)] * 3
+    p = cut(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    got = packing.pack_pieces(p, shard=40).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows) and max(fill.values()) <= 2048 and len(fill) <= 480
+
+
 def test_sum_of_squares():
     sizes = np.array([5, 5, 3, 7, 2, 2, 8, 1, 10])
     bins, gaps = packing.sum_of_squares(sizes, 10), []
