@@ -336,11 +336,15 @@ def test_urls(spark, monkeypatch):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
-def test_mixing(docs, empty, spark):
+@pytest.mark.parametrize("words", [64, 4])
+def test_mixing(empty, spark, words):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    got = {r["doc_id"]: r for r in mixing.mix_sources(docs, block_words=4).collect()}
+    one = (900, "word", "en", "s00", 4, 1, 2, 3, "x", 4)
+    rows = [*documents(), one, *documents()[:2], *((None, *r[1:]) for r in documents()[:4])]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(docs, block_words=words).collect()
     sums = Counter()
-    for _, t, _, s, *_ in documents():
+    for _, t, _, s, *_ in rows:
         sums[s] += size(t)
     names = sorted(x for x in sums if x) + [None]
     w = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
@@ -356,16 +360,32 @@ def test_mixing(docs, empty, spark):
         open_ -= over
     target |= {s: w[s] * level for s in open_}
     took = Counter()
-    for k, t, _, s, *_ in documents():
-        assert got[k]["size"] == size(t) and got[k]["source_size"] == sums[s] and abs(got[k]["target"] - target[s]) < 1e-6
-        assert 0 <= got[k]["taken"] <= 2 * size(t)
-        took[s] += got[k]["taken"]
-    assert all(abs(took[s] - target[s]) <= 0.02 * target[s] + 16 for s in names)
-    again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs.repartition(3), block_words=4).collect()}
-    assert again == {k: r["taken"] for k, r in got.items()}
-    assert mixing.mix_sources(empty).count() == 0
-    rows = mixing.mixed_documents(docs)
-    assert rows.columns == docs.columns and max(Counter(r["doc_id"] for r in rows.collect()).values()) <= 2
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((k, s, size(t)) for k, t, _, s, *_ in rows)
+    for r in got:
+        assert r["source_size"] == sums[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        took[r["source"]] += r["taken"]
+    assert all(abs(took[s] - target[s]) <= min(words, max(1, sums[s] // 256)) for s in names) and took["s00"] == 2
+    again = mixing.mix_sources(docs.repartition(3), block_words=words).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    clash = docs.withColumns({"copies": F.lit(1), "row": F.lit(2), "copies_": F.lit(3), "rid": F.lit(4)})
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns
+    most = Counter(r[:2] for r in rows)
+    assert all(n <= 2 * most[k] for k, n in Counter((r["doc_id"], r["text"]) for r in out.collect()).items())
+
+
+def test_draws(spark):
+    """Shards' counts are a multinomial draw: of the right mean and variance; no slot is lost or there twice."""
+    slots = {k: n for k, n in enumerate([4000, 1000, 1, 0, 2999, *[2] * 1000])}
+    src = cut(spark.createDataFrame(list(slots.items()), "src long, slots long"))
+    got = mixing.draw_slots(src, F.lit(7), 100).collect()
+    assert sorted((r["src"], r["j"]) for r in got) == [(s, j) for s, n in slots.items() for j in range(n)]
+    total = sum(slots.values())
+    for s in (0, 1, 4):
+        per = np.bincount([r["shard"] for r in got if r["src"] == s], minlength=total // 100)
+        p = slots[s] / total
+        assert abs(per.mean() - 100 * p) < 1 and 0.6 < per.var() / (100 * p * (1 - p)) < 1.6
     for n in (1, 2, 3, 10, 97, 1000):
         p = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit(2))).collect()]
         assert sorted(p) == list(range(n))
