@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrove.llm import fingerprint, jaccard, langid, mixing, packing, sharding, substring, urlfilter, vectors, warc
-from lexigrove.session import table
+from lexigrove.session import cut, table
 
 
 def op1_sharding(spark, sf_dir):
@@ -47,10 +47,12 @@ EVERY = 97
 
 def op9_warc_fixity(spark, sf_dir):
     """All pages as WARC records, audited against a replica in which a byte of some records is changed."""
-    left = warc.to_records(table(spark, sf_dir, "pages"))
     body = F.expr("substring(record, 1, length(record) - 1)")
     hurt = F.when(F.col("page_id") % EVERY == 0, F.concat(body, F.lit(b"\x00"))).otherwise(F.col("record"))
-    return warc.fixity(left, left.withColumn("record", hurt)).drop("segment", "seq", "offset")
+    rows = warc.to_records(table(spark, sf_dir, "pages")).select("page_id", warc.measured(F.col("record")).alias("left"), warc.measured(hurt).alias("right"))
+    both = cut(warc.laid_out(rows.select("page_id", "left.*", F.col("right.length").alias("length_right"), F.col("right.digest").alias("digest_right"))))
+    right = both.select("segment", "seq", "offset", F.col("length_right").alias("length"), F.col("digest_right").alias("digest"))
+    return warc.fixity(both, right).drop("segment", "seq", "offset")
 
 
 def op10_fingerprints(spark, sf_dir):
@@ -77,6 +79,6 @@ WITH r AS (
   SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') ||
     chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) ||
     chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t
-  FROM pages WHERE page_id IS NOT NULL)
-SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS length, sha256(t) AS digest, page_id % {EVERY} = 0 AS damaged FROM r""",
+  FROM pages)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS length, sha256(t) AS digest, coalesce(page_id % {EVERY} = 0, false) AS damaged FROM r""",
 }

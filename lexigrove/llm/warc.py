@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import parts
-from lexigrove.session import cut
+from lexigrove.session import Scratch, cut
 
 #: Children of a tree node, and records of a segment (one WARC file) about.
 FANOUT, SEGMENT = 16, 512
@@ -26,23 +26,30 @@ def record_text(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def to_records(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """page_id, segment, seq, offset, length, record of each page: segments are ranges of hashed ids, in
-    which records lie one after the other by page_id. Null url and html are empty; rows without a
-    page_id go; rows of one page_id lie in the order of their records."""
-    n = parts(pages.count(), segment)
-    rows = pages.where("page_id is not null").select(
-        "page_id", F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("segment"), record_text(F.col("url"), F.col("html")).cast("binary").alias("record")
-    )
-    by = Window.partitionBy("segment").orderBy("page_id", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, 0)
-    size = F.octet_length("record").cast("long")
-    return rows.select("page_id", "segment", (F.row_number().over(by) - 1).alias("seq"), (F.sum(size).over(by) - size).alias("offset"), size.alias("length"), "record")
+def to_records(pages: DataFrame) -> DataFrame:
+    """page_id and record (binary) of each page. Null url and html are empty; a null page_id is kept."""
+    return pages.select("page_id", record_text(F.col("url"), F.col("html")).cast("binary").alias("record"))
+
+
+def measured(record: Column) -> Column:
+    """What an audit needs of a record: struct(length, digest)."""
+    return F.struct(F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+
+
+def laid_out(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Adds segment, seq and offset to rows (page_id, length, digest, ...): segments are ranges of hashed ids, in
+    which records lie one after the other by page_id, those of one page_id (null first) by digest. Records are
+    measured before; their bytes aren't shuffled."""
+    n = parts(rows.count(), segment)
+    rows = rows.withColumn("segment", F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.col("digest"))), F.lit(n)))
+    by = Window.partitionBy("segment").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("seq", F.row_number().over(by) - 1).withColumn("offset", F.sum("length").over(by) - F.col("length"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """One leaf for each record: hash over its offset, length and bytes."""
-    range_ = F.concat_ws(":", "offset", "length", F.sha2("record", 256))
-    return records.select("segment", F.col("seq").cast("long").alias("node"), F.sha2(range_.cast("binary"), 256).alias("hash"), F.sha2("record", 256).alias("digest"), "offset", "length")
+    """One leaf for each record: hash over its offset, length and its bytes' hash."""
+    range_ = F.concat_ws(":", "offset", "length", "digest")
+    return records.select("segment", F.col("seq").cast("long").alias("node"), F.sha2(range_.cast("binary"), 256).alias("hash"))
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -63,7 +70,7 @@ def tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Leaves at which two replicas differ: segment, node, hash_left, hash_right.
 
-    Both are (segment, seq, offset, length, record). Only the roots of all segments are compared; below,
+    Both are (segment, seq, offset, length, digest). Only the roots of all segments are compared; below,
     only children of nodes that differ. A record that one side lacks has a null hash there.
     """
     a, b = tree(left, fanout), tree(right, fanout)
@@ -82,15 +89,15 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def fixity(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """page_id, segment, seq, offset, length, digest, damaged for each record of the left replica; damaged
-    tells whether the audit found the right one to differ there.
+    """page_id, segment, seq, offset, length, digest, damaged for each record of the left replica, both as laid_out()
+    gives them; damaged tells whether the audit found the right one to differ there.
 
-    Empty replicas give no rows; other columns are not read.
+    Empty replicas give no rows; repeated rows are records each; other columns are not read.
     """
-    bad = audit(left, right, fanout).select("segment", F.col("node").alias("seq"), F.lit(True).alias("bad"))
-    return left.select("page_id", "segment", "seq", "offset", "length", F.sha2("record", 256).alias("digest")).join(bad, ["segment", "seq"], "left").select(
-        "page_id", "segment", "seq", "offset", "length", "digest", F.coalesce("bad", F.lit(False)).alias("damaged")
-    )
+    with Scratch(left.sparkSession) as scratch:
+        left = cut(left.select("page_id", "segment", "seq", "offset", "length", "digest"))
+        bad = audit(left, right, fanout).select("segment", F.col("node").alias("seq"), F.lit(True).alias("bad"))
+        return scratch.keep(cut(left.join(bad, ["segment", "seq"], "left").select("page_id", "segment", "seq", "offset", "length", "digest", F.coalesce("bad", F.lit(False)).alias("damaged"))))
 
 
 def parse_warc(data: bytes):
