@@ -6,7 +6,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import batches, parts
@@ -16,6 +17,7 @@ K, TUPLES, PER = 8, 64, 2
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 BITS = TUPLES.bit_length() - 1
+FIELDS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 #: Documents of a neighbourhood, which one task reads in order.
 NEAR = 2_000
 
@@ -111,21 +113,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def range_of(x: Column, splits: list[int]) -> Column:
-    """How many of the sorted splits are below x, by binary search."""
-    if not splits:
-        return F.lit(0)
-    at = F.array(*[F.lit(int(s)).cast("long") for s in splits])
-    steps = F.sequence(F.lit(1), F.lit(len(splits).bit_length()))
-
-    def step(c, _):
-        mid = F.floor((c["lo"] + c["hi"]) / 2).cast("int")
-        below = F.element_at(at, F.least(mid, F.lit(len(splits) - 1)) + 1) < x
-        go = c["lo"] < c["hi"]
-        return F.struct(F.when(go & below, mid + 1).otherwise(c["lo"]).alias("lo"), F.when(go & ~below, mid).otherwise(c["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi"))
-    return F.aggregate(steps, start, step, lambda c: c["lo"])
+def range_of(spark, splits: list[int]):
+    """A column function: how many of the sorted splits are below an id. Only ids go to Python, not texts."""
+    shared = spark.sparkContext.broadcast(np.asarray(splits, np.int64))
+    return F.arrow_udf(lambda ids: pa.array(np.searchsorted(shared.value, ids.to_numpy(zero_copy_only=False)).astype(np.int32)), "int")
 
 
 def fingerprint_documents(docs: DataFrame, near: int = NEAR) -> DataFrame:
@@ -137,25 +128,32 @@ def fingerprint_documents(docs: DataFrame, near: int = NEAR) -> DataFrame:
 
     Documents go once to ranges of doc_id, in which a task reads them in descending order and keeps one
     at a time; a range also gets a copy of the document that comes after its last.
-    Cases: null text is empty; rows of one doc_id follow one another by text; rows without a doc_id go;
-    a single document is its own next; an empty table gives no rows; other columns are not read.
+    Cases: null text is empty; rows of one doc_id follow one another by text; a row without a doc_id is its own next, as
+    is a single document; an empty table gives no rows; other columns are not read.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = parts(docs.count(), near)
+    spark = docs.sparkSession
+    batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    alone, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    n = min(65536, parts(docs.count(), near))
     splits = []
     if n > 1:
-        n = min(n, 65536)
         q = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0]
         splits = sorted(set(q or []))
-    dealt = docs.withColumn("pid", range_of(F.col("doc_id"), splits))
+    dealt = docs.withColumn("pid", range_of(spark, splits)("doc_id") if splits else F.lit(0))
     heads = {r["pid"]: r["m"] for r in dealt.groupBy("pid").agg(F.max("doc_id").alias("m")).collect()}
     ranges = sorted(heads, reverse=True)
     after = [(heads[ranges[(k + 1) % len(ranges)]], pid) for k, pid in enumerate(ranges)]
-    copies = docs.sparkSession.createDataFrame(after, "doc_id long, pid int") if after else docs.sparkSession.createDataFrame([], "doc_id long, pid int")
-    ends = docs.where(F.col("doc_id").isin([a for a, _ in after])) if len(after) <= 1000 else docs
-    ends = ends.join(F.broadcast(copies), "doc_id").groupBy("pid").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    copies = spark.createDataFrame(after, "doc_id long, pid int")
+    ends = docs.join(F.broadcast(copies), "doc_id").groupBy("pid").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
     rows = dealt.select("pid", F.lit(False).alias("end"), "doc_id", "text").union(ends.select("pid", F.lit(True), "doc_id", "text"))
     rows = rows.repartition(max(len(ranges), 1), "pid").sortWithinPartitions("pid", "end", F.col("doc_id").desc(), "text")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def row(doc, text, own, after, next_own):
+        new = edited(text, after)
+        other = sketch(new)
+        return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), shown(own), shown(other), likeness(own, other), likeness(own, next_own)
 
     def run(frames):
         last = None
@@ -164,12 +162,13 @@ def fingerprint_documents(docs: DataFrame, near: int = NEAR) -> DataFrame:
             for pid, end, doc, text in zip(frame["pid"], frame["end"], frame["doc_id"], frame["text"], strict=True):
                 own = sketch(text)
                 if last and last[0] == pid:
-                    _, was, old, print_ = last
-                    new = edited(old, text)
-                    other = sketch(new)
-                    out.append((was, len(old), hashlib.sha256(new.encode()).hexdigest(), shown(print_), shown(other), likeness(print_, other), likeness(print_, own)))
+                    out.append(row(*last[1:], text, own))
                 last = None if end else (pid, doc, text, own)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame(out, columns=FIELDS)
+
+    def single(frames):
+        for frame in frames:
+            out = [row(None, t, own, t, own) for t in frame["text"] for own in [sketch(t)]]
+            yield pd.DataFrame(out, columns=FIELDS).astype({"doc_id": "Int64"})
 
-    batches(docs.sparkSession)
-    return rows.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInPandas(run, schema).union(alone.select("text").mapInPandas(single, schema))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,14 +183,49 @@ def test_vectors(spark):
                 u.join(a, b)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(df).collect()}
     assert got == {k: (links[k], u.find(k), u.find(k) == k) for k in range(len(rows))}
+    none = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, None)], "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, vectors.link_vectors(none).collect())) == Counter({(None, 0, None, True): 2, (5, 1, 5, True): 2, (6, 0, 6, True): 1})
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 7)
+@pytest.mark.parametrize(("block", "long"), [(7, 100), (5, 1)])
+def test_vectors_in_blocks(spark, monkeypatch, block, long):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "LONG", long)
     test_vectors(spark)
 
 
+def _recall(spark, m):
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(m)), "embedding": m.tolist()}))
+    links = (m @ m.T >= vectors.COSINE).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.link_vectors(df).collect()}
+    assert all(got[k] <= n for k, n in enumerate(links))
+    print(int(links.sum()), sum(got.values()) / links.sum())
+    return sum(got.values()) / links.sum()
+
+
+@pytest.mark.parametrize("mean", [0.0, 1.0, 2.5])
+def test_vectors_recall(spark, monkeypatch, mean):
+    """Thousands of links, spread and concentrated: mean cosines of 0, 0.5 and 0.86; a hot group of near copies."""
+    monkeypatch.setattr(vectors, "BLOCK", 200)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(2500, 48))
+    near = np.repeat(base[:400], 3, axis=0) + r.normal(size=(1200, 48)) * np.repeat(r.uniform(0.02, 0.25, 400), 3)[:, None]
+    hot = base[0] + r.normal(size=(900, 48)) * 0.12
+    assert _recall(spark, np.concatenate([base, near, hot]) + mean) >= 0.95
+
+
+def test_lists_stay_short():
+    """Concentrated vectors (mean cosine 0.86) have as many pivots as others, and no pivot is near to very many."""
+    r = np.random.default_rng(2)
+    m = r.normal(size=(4000, 48)) + 2.5
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    p = vectors.pivots_of(m[:375], 125)
+    first = np.argsort(-(m @ p.T), axis=1)[:, : vectors.NEAREST]
+    assert len(p) == 125 and np.bincount(first.ravel()).max() < 0.5 * len(m)
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
@@ -453,11 +489,18 @@ def test_sum_of_squares():
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(k, f"http://h/{k}", None if k % 50 == 0 else "é" * (k % 300)) for k in range(900)] + [(None, None, None)], "page_id long, url string, html string")
-    left = warc.to_records(pages, 100)
-    right = left.withColumn("record", F.when(F.col("page_id").isin(3, 500), F.lit(b"x")).otherwise(F.col("record"))).where("page_id <> 899")
+    rows = [(k, f"http://h/{k}", None if k % 50 == 0 else "é" * (k % 300)) for k in range(900)] + [(None, None, None)] * 3 + [(7, "x", "y")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"segment": F.lit(1), "record": F.lit("r"), "left": F.lit(2)})
+    records = cut(warc.to_records(pages))
+    lay = lambda record: warc.laid_out(records.select("page_id", "record", warc.measured(record).alias("m")).select("page_id", "record", "m.*"), 100)
+    left = lay(F.col("record"))
+    right = lay(F.when(F.col("page_id").isin(3, 500), F.lit(b"x")).otherwise(F.col("record"))).where("page_id is null or page_id <> 899")
+    segment = left.where("page_id in (3, 500, 899)").select("segment", "page_id").distinct().collect()
     got = warc.fixity(left, right, 4)
-    assert {r["page_id"] for r in got.where("damaged").collect()} == {3, 500, 899} and got.count() == 900
+    hurt = {r["page_id"] for r in got.where("damaged").collect()}
+    # offsets after a record of another length differ, too
+    after = {r["page_id"] for s in segment for r in left.where(f"segment = {s['segment']} and page_id >= {s['page_id']}").collect()}
+    assert {3, 500, 899} <= hurt <= after and got.count() == 905
     assert warc.audit(left, left).count() == 0
     assert warc.fixity(left.limit(0), left.limit(0)).count() == 0
     one = left.where("segment = 0").orderBy("offset").collect()
@@ -478,7 +521,8 @@ def test_fingerprints(docs, empty, spark):
             assert r["fingerprint"] == fingerprint.shown(fingerprint.sketch(t)) and r["edited_fingerprint"] == fingerprint.shown(fingerprint.sketch(new))
             assert 0 <= r["near_edited"] <= 1 and (r["near_next"] == 1 or t != after)
     one = spark.createDataFrame([(1, "abc"), (None, "d")], "doc_id long, text string")
-    assert [(r["doc_id"], r["near_next"]) for r in fingerprint.fingerprint_documents(one).collect()] == [(1, 1.0)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(one.union(one.limit(1))).collect()}
+    assert {k: r["near_next"] for k, r in got.items()} == {1: 1.0, None: 1.0} and got[None]["edited_sha256"] == hashlib.sha256(b"d").hexdigest()
     assert fingerprint.fingerprint_documents(empty).count() == 0
     r = random.Random(1)
     a = "".join(r.choice("abcdefghij ") for _ in range(4000))
