@@ -23,6 +23,8 @@ LEAST_SCORE = 0.5
 #: LEAST_KNOWN times the median of (at most) TRIAL_DOCS held-out labelled documents.
 #: The score is near 1 for any text of some words; the share does not grow with length.
 LEAST_KNOWN, SLACK, TRIAL_DOCS = 0.45, 2, 500
+#: Words whose n-grams are counted at a time.
+STEP = 20_000
 #: Characters of texts whose words are held at a time; longer texts are taken in portions, cut at white space.
 SLICE = 2_000_000
 SPACE = regex.compile(r"\s")
@@ -81,18 +83,25 @@ class Model:
 
     Tables are sorted 64-bit hashes and, for each, a row of log-frequencies (counts plus one half)."""
 
-    def __init__(self, lang: list[str], word: pa.Array, n: np.ndarray):
-        self.langs = sorted(set(lang))
-        coded = word.dictionary_encode()
-        words = Words(coded.dictionary)
-        by = np.zeros((words.n, len(self.langs)))
-        index = {x: k for k, x in enumerate(self.langs)}
-        np.add.at(by, (coded.indices.to_numpy(zero_copy_only=False), np.array([index[x] for x in lang], dtype=np.int64)), n)
+    def __init__(self, lang: pa.Array, word: pa.Array, n: np.ndarray):
+        langs, words = lang.dictionary_encode(), word.dictionary_encode()
+        self.langs = sorted(langs.dictionary.to_pylist())
+        order = np.array([self.langs.index(x) for x in langs.dictionary.to_pylist()], dtype=np.int64)
+        width = len(self.langs)
+        by = np.zeros((len(words.dictionary), width))
+        np.add.at(by, (words.indices.to_numpy(zero_copy_only=False), order[langs.indices.to_numpy(zero_copy_only=False)]), n)
+        found: list[list] = [[] for _ in range(LONGEST + 1)]
+        for at in range(0, len(by), STEP):  # n-grams of some words at a time
+            some, own = Words(words.dictionary.slice(at, STEP)), by[at : at + STEP]
+            for size in range(LONGEST + 1):
+                h, who = some.grams(size, np.arange(some.n)) if size else (some.hashes(), np.arange(some.n))
+                keys, place = np.unique(h, return_inverse=True)
+                found[size].append((keys, np.stack([np.bincount(place, own[who, k], len(keys)) for k in range(width)], axis=1)))
         self.tables = []
-        for size in range(LONGEST + 1):
-            h, who = words.grams(size, np.arange(words.n)) if size else (words.hashes(), np.arange(words.n))
-            keys, place = np.unique(h, return_inverse=True)
-            counts = np.stack([np.bincount(place, by[who, k], len(keys)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(keys), 0))
+        for size, some in enumerate(found):
+            keys, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in some)]), return_inverse=True)
+            counts = np.zeros((len(keys), width))
+            np.add.at(counts, place, np.concatenate([np.zeros((0, width)), *(c for _, c in some)]))
             if not size:
                 self.seen = counts > 0
             counts += 0.5
@@ -137,7 +146,7 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
         .agg(F.count("*").alias("n"))
         .toArrow()
     )
-    return Model(words["lang"].to_pylist(), words["word"].combine_chunks(), words["n"].to_numpy())
+    return Model(words["lang"].combine_chunks(), words["word"].combine_chunks(), words["n"].to_numpy())
 
 
 def portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
