@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,27 @@ def batches(spark) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def lean(run):
+    """`run`, a function of frames for mapInPandas, after which the worker gives memory back that it no longer uses:
+    workers live on, and what one operator has freed would count against the next one."""
+
+    def wrapped(frames):
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: Most partitions that an operator deals anything out to.
 MOST_PARTS = 100_000
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import batches, parts
+from lexigrove.llm.common import batches, lean, parts
 
 #: Code points in a k-mer, tuples in a fingerprint, k-mers in a tuple.
 K, TUPLES, PER = 8, 64, 2
@@ -171,4 +171,4 @@ def fingerprint_documents(docs: DataFrame, near: int = NEAR) -> DataFrame:
             out = [row(None, t, own, t, own) for t in frame["text"] for own in [sketch(t)]]
             yield pd.DataFrame(out, columns=FIELDS).astype({"doc_id": "Int64"})
 
-    return rows.mapInPandas(run, schema).union(alone.select("text").mapInPandas(single, schema))
+    return rows.mapInPandas(lean(run), schema).union(alone.select("text").mapInPandas(lean(single), schema))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Union, attach, batches, components, counted, grouped, parts, repeated
+from lexigrove.llm.common import Union, attach, batches, components, counted, grouped, lean, parts, repeated
 from lexigrove.session import Scratch, cut, cut_by
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -161,8 +161,8 @@ def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
             yield pd.DataFrame({"token": _signed(t[n >= 3]), "n": n[n >= 3]})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    packed = sample.select("text").mapInPandas(tokens, "bucket long, tokens binary")
-    top = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(count, "token long, n long")
+    packed = sample.select("text").mapInPandas(lean(tokens), "bucket long, tokens binary")
+    top = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(lean(count), "token long, n long")
     got = top.orderBy(F.col("n").desc(), "token").limit(HEAVY).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -193,7 +193,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     work = docs.join(tasks, "doc_id").select("key", "chunk", "ent", "text")
     dealt = work.repartition(parts(tasks.count(), BUCKET_DOCS, 24), "key", "chunk").sortWithinPartitions("key", "chunk", "ent")
-    return cut(dealt.mapInPandas(link, "a long, b long"))
+    return cut(dealt.mapInPandas(lean(link), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -259,9 +259,9 @@ def candidates(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, weight: np.n
             yield pd.DataFrame([(e, g, n, c) for (e, g, n), c in found.items()], columns=["ent", "grp", "n", "tokens"], dtype=np.int64)
 
     rows = docs.join(reps.select("doc_id", *ids), "doc_id").select(*ids, "text")
-    packed = rows.mapInPandas(postings, "bucket long, tokens binary, who binary, ids binary")
+    packed = rows.mapInPandas(lean(postings), "bucket long, tokens binary, who binary, ids binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInPandas(pairs, "ent long, grp long, n long, tokens long").groupBy("ent", "grp", "n").agg(F.sum("tokens").alias("tokens"))
+    met = dealt.mapInPandas(lean(pairs), "ent long, grp long, n long, tokens long").groupBy("ent", "grp", "n").agg(F.sum("tokens").alias("tokens"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARE))
     return met.where(F.col("tokens") >= least).select("ent", "grp")
 
@@ -315,7 +315,7 @@ def open_groups(docs: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
 
     rows = docs.join(work, "doc_id").select("grp", "salt", "asks", "ent", "comp", "text")
     dealt = rows.repartition(parts(n, BUCKET_DOCS, 24), "grp", "salt").sortWithinPartitions("grp", "salt", "asks", "ent")
-    return cut(dealt.mapInPandas(link, "a long, b long"))
+    return cut(dealt.mapInPandas(lean(link), "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     with Scratch(spark) as scratch:
         rows = docs.select(F.col("doc_id").cast("string"), "text")  # ids may be null, and must not turn into floating-point numbers
-        sets = cut(rows.mapInPandas(describe, "doc_id long, n long, ent long, key long, key2 long"))
+        sets = cut(rows.mapInPandas(lean(describe), "doc_id long, n long, ent long, key long, key2 long"))
         reps = cut(sets.where("n > 0 and doc_id is not null").groupBy("ent", "n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
         buckets = parts(sets.count(), BUCKET_DOCS, 24)
         docs = cut_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), "doc_id", buckets)  # texts are shuffled by doc_id once, not for each join

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import batches
+from lexigrove.llm.common import batches, release
 
 #: The model learns from at most TRAIN_DOCS labelled documents (those with the smallest hashes), all their words and
 #: all n-grams of up to LONGEST characters of these.
@@ -206,6 +206,7 @@ def detector(spark, model: Model):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
             lang, score, known = tell(shared.value, pc.fill_null(texts, "").to_pylist())
+            release()
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(known)], ["lang_pred", "score", "known"])
 
     batches(spark)

@@ -14,12 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import batches, parts
+from lexigrove.llm.common import batches, lean, parts
 from lexigrove.session import Scratch, cut
 
 LENGTH, END_ID = 2048, 0
-#: Words whose ids a worker keeps before it starts over.
-CACHE = 500_000
+#: Words whose ids a worker keeps, in each of two halves: the newer, and the older, which goes when the newer is full.
+CACHE = 100_000
 #: A worker's tokenizers, kept from task to task.
 WORKER: dict = {}
 #: Pieces that one task packs.
@@ -32,6 +32,25 @@ BINS = 32
 ODD = re.compile("[\x1c-\x1f]")
 
 
+class Recent:
+    """A mapping of the last CACHE to 2 * CACHE keys that were asked for."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self[key] = got
+        return got
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Tokens:
     """Ids of texts as little-endian bytes, the tokenizer's own.
 
@@ -50,8 +69,7 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.part: dict[str, bytes] = {}
+        self.known, self.part = Recent(), Recent()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -77,9 +95,6 @@ class Tokens:
         whole = [any(a in t for a in self.added) or ODD.search(t) is not None for t in texts]
         words = pc.utf8_split_whitespace(pa.array(["" if odd else t for t, odd in zip(texts, whole, strict=True)], pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.part.clear()
         unique, known = [], self.known
         for w in coded.dictionary.to_pylist():
             if (ids := known.get(w)) is None:
@@ -123,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     batches(docs.sparkSession)
     # ids may be null, and must not turn into floating-point numbers on their way
     kind = F.col("doc_id").cast("string").alias("d")
-    return docs.select(kind, "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(kind, "text").mapInPandas(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> np.ndarray:

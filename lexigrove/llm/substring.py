@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import attach, batches, grouped, parts, repeated
+from lexigrove.llm.common import attach, batches, grouped, lean, parts, repeated
 from lexigrove.session import Scratch, cut, cut_by
 
 #: Bytes of a passage.
@@ -301,27 +301,23 @@ def merged(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-class Posts(NamedTuple):
-    """A text's symbols, anchors, and the first and last passage start of each."""
+class Posts:
+    """A text's symbols, and for some of its anchors the first and last passage start that each has."""
 
-    raw: bytes
-    anchor: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+    def __init__(self, text: str | None, places: np.ndarray, kind: Kind):
+        self.raw, self.kind = kind.raw(text), kind
+        anchor, first, last, _ = anchors(self.raw, kind)
+        at = np.searchsorted(anchor, places)
+        self.places, self.first, self.last = places, first[at], last[at]
 
-    @staticmethod
-    def of(text: str | None, kind: Kind) -> Posts:
-        raw = kind.raw(text)
-        return Posts(raw, *anchors(raw, kind)[:3])
+    def ranges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last of the passages that start low..high-1 symbols before each of the anchors; where there
+        is none the first comes after the last."""
+        return np.maximum(self.first, self.places - high + 1), np.minimum(self.last, self.places - low)
 
-    def block(self, place: int, low: int, high: int, kind: Kind) -> tuple[bytes, int, int] | None:
-        """Of the passages that start low..high-1 symbols before an anchor: their symbols, where the suffix that all
-        share starts among these, and the first passage's start. None if there is no such passage."""
-        k = int(np.searchsorted(self.anchor, place))
-        lo, hi = max(int(self.first[k]), place - high + 1), min(int(self.last[k]), place - low)
-        if lo > hi:
-            return None
-        return self.raw[lo * kind.unit : (hi + kind.length) * kind.unit], place - low - lo, lo
+    def cut(self, lo: int, hi: int) -> bytes:
+        """The symbols of the passages lo..hi."""
+        return self.raw[lo * self.kind.unit : (hi + self.kind.length) * self.kind.unit]
 
 
 def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
@@ -349,13 +345,15 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
         return pd.DataFrame(out, columns=["bucket", "kind", "data", "rid", "start", "end"])
 
     for frame in frames:
-        for rid, text, entries in zip(frame["rid"].tolist(), frame["text"], frame["entries"], strict=True):
-            posts = Posts.of(text, kind)
-            for e in entries:
-                level, low = int(e["level"]), int(e["low"])
-                raw, at, lo = posts.block(int(e["place"]), low, kind.top(low, level), kind)
-                blocks.setdefault((raw, at, level), []).append((rid, lo))
-                held += 1
+        for rid, text, places, lows, levels in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["lows"], frame["levels"], strict=True):
+            places, lows = np.asarray(places, np.int64), np.asarray(lows, np.int64)
+            posts = Posts(text, places, kind)
+            levels = list(levels)
+            high = np.array([kind.top(a, k) if k else kind.window for a, k in zip(lows.tolist(), levels, strict=True)], dtype=np.int64)
+            los, his = posts.ranges(lows, high)
+            for at, lo, hi, level in zip((places - lows).tolist(), los.tolist(), his.tolist(), levels, strict=True):
+                blocks.setdefault((posts.cut(lo, hi), at - lo, level), []).append((rid, lo))
+            held += len(places)
             if held >= RUN:
                 yield flush()
     yield flush()
@@ -386,13 +384,35 @@ def _settle(group: list[tuple], kind: Kind) -> list[tuple[int, int, int]]:
     return [(rid, lo + a, lo + b) for (_, _, _, rid, lo, n), m in zip(group, many, strict=True) if n == 1 for a, b in spans(np.flatnonzero(m), kind.length)]
 
 
-def _hash(raw: bytes, salt: int, kind: Kind) -> int:
-    h = Text(raw, kind.unit)
-    return int(_mix(h.hashes(np.zeros(1, np.int64), h.n) ^ U(salt) * U(BASE)).view(np.int64)[0])
+def _salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return _mix(h ^ salt.astype(np.uint64) * U(BASE)).view(np.int64)
+
+
+def divided(posts: Posts, lows: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor the hash of its block at a level; and for the parts at the next level: which anchor, low, hash of
+    what all its passages share."""
+    kind = posts.kind
+    deep = kind.deep(level + 1)
+    of, low, high = (np.array(x, dtype=np.int64) for x in zip(*((k, a, b) for k, x in enumerate(lows.tolist()) for a, b in kind.parts(x, level)), strict=True))
+    top = np.array([kind.top(x, level) for x in lows.tolist()], dtype=np.int64)
+    lo, hi = posts.ranges(lows, top)
+    some = np.maximum(posts.first[of], posts.places[of] - high + 1) <= np.minimum(posts.last[of], posts.places[of] - low)
+    of, low = of[some], low[some]
+    at = posts.places[of] - low
+    block, part = np.zeros(len(lows), np.int64), np.zeros(len(of), np.int64)
+    near = (hi + kind.length) // PART  # anchors whose blocks are hashed at a time
+    for k in np.unique(near):
+        a = near == k
+        base = int(lo[a].min())
+        text = Text(posts.raw[base * kind.unit : (int(hi[a].max()) + kind.length) * kind.unit], kind.unit)
+        block[a] = _salted(text.hashes(lo[a] - base, hi[a] - lo[a] + kind.length), posts.places[a] - lo[a])
+        b = a[of]
+        part[b] = _salted(text.hashes(at[b] - base, deep), low[b])
+    return block, of, low, part
 
 
 def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(rid, entries) for rows (rid, text) that have repeated suffixes; entries: level, place, low. Each level tells
+    """(rid, places, lows, levels) for rows (rid, text) that have repeated suffixes. Each level tells
     those apart that go on in more than HOT ways at the level before."""
 
     def post(frames):
@@ -404,46 +424,42 @@ def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def divide(level: int):
         """Of each entry of a level its block's hash, and its parts at the next level."""
-        deep = kind.deep(level + 1)
 
         def run(frames):
             for frame in frames:
                 out = []
-                for rid, text, entries in zip(frame["rid"].tolist(), frame["text"], frame["entries"], strict=True):
-                    posts = Posts.of(text, kind)
-                    for e in entries:
-                        place, low = int(e["place"]), int(e["low"])
-                        raw, at, _ = posts.block(place, low, kind.top(low, level), kind)
-                        parts_ = []
-                        for a, b in kind.parts(low, level):
-                            if (part := posts.block(place, a, b, kind)) is not None:
-                                raw_, at_, _ = part
-                                parts_.append((a, _hash(raw_[at_ * kind.unit : (at_ + deep) * kind.unit], a, kind)))
-                        out.append((rid, place, low, e["suffix"], _hash(raw, at, kind), parts_))
-                yield pd.DataFrame(out, columns=["rid", "place", "low", "suffix", "block", "parts"])
+                for rid, text, places, lows, suffixes in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["lows"], frame["suffixes"], strict=True):
+                    places, lows = np.asarray(places, np.int64), np.asarray(lows, np.int64)
+                    block, of, low, part = divided(Posts(text, places, kind), lows, level)
+                    out.append(pd.DataFrame({"rid": rid, "place": places[of], "low": low, "part": part, "suffix": np.asarray(suffixes, np.int64)[of], "block": block[of]}))
+                if out:
+                    yield pd.concat(out)
 
         return run
 
-    posted = cut(docs.mapInPandas(post, "rid long, place int, low int, suffix long"))
+    posted = cut(docs.mapInPandas(lean(post), "rid long, place int, low int, suffix long"))
     level, settled = 0, None
     while True:
         found = cut(repeated(posted, "suffix", "n"))
-        rest = found
+        split = None
         if kind.width(level) > 1:
-            hot = found.where(F.col("n") > HOT).groupBy("rid").agg(F.collect_list(F.struct("place", "low", "suffix")).alias("entries"))
-            shape = "rid long, place int, low int, suffix long, block long, parts array<struct<low:int,suffix:long>>"
-            parts_ = cut(docs.join(hot, "rid").mapInPandas(divide(level), shape))
-            ways = parts_.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
-            ways = cut(ways)
-            rest = found.join(ways.where(F.col("ways") > HOT).select("suffix").hint("merge"), "suffix", "left_anti") if not ways.isEmpty() else found
-        rest = rest.select("rid", F.struct(F.lit(level).alias("level"), "place", "low").alias("e"))
+            ordered = F.sort_array(F.collect_list(F.struct("place", "low", "suffix")))
+            hot = found.where(F.col("n") > HOT).groupBy("rid").agg(ordered.alias("e"))
+            hot = hot.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.suffix").alias("suffixes"))
+            halves = cut(docs.join(hot, "rid").mapInPandas(lean(divide(level)), "rid long, place int, low int, part long, suffix long, block long"))
+            ways = halves.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
+            ways = cut(ways.where(F.col("ways") > HOT))
+            split = None if ways.isEmpty() else ways
+        rest = found if split is None else attach(found, "suffix", split.select("suffix", "ways", "rows"), "rows").where(F.col("ways").isNull()).select(*found.columns)
+        rest = rest.select("rid", F.struct("place", "low", F.lit(level).alias("level")).alias("e"))
         settled = rest if settled is None else settled.union(rest)
-        if kind.width(level) == 1 or ways.where(F.col("ways") > HOT).isEmpty():
+        if split is None:
             break
-        many = attach(parts_.select("rid", "place", "suffix", "parts"), "suffix", ways, "rows").where(F.col("ways") > HOT)
-        posted = cut(many.select("rid", "place", F.explode("parts").alias("p")).select("rid", "place", "p.low", "p.suffix"))
+        many = attach(halves, "suffix", split, "rows").where(F.col("ways").isNotNull())
+        posted = cut(many.select("rid", "place", "low", F.col("part").alias("suffix")))
         level += 1
-    return cut(settled.groupBy("rid").agg(F.sort_array(F.collect_list("e")).alias("entries")))
+    settled = settled.groupBy("rid").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return cut(settled.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.level").alias("levels")))
 
 
 def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -453,21 +469,21 @@ def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
     def heads(frames):
         for frame in frames:
             out = []
-            for text, entries in zip(frame["text"], frame["entries"], strict=True):
+            for text, places, lows in zip(frame["text"], frame["places"], frame["lows"], strict=True):
                 raw = kind.raw(text)
-                out += [raw[(e["place"] - e["low"]) * kind.unit :][:HEAD] for e in entries]
+                out += [raw[int(a) * kind.unit :][:HEAD] for a in np.asarray(places, np.int64) - np.asarray(lows, np.int64)]
             yield pd.DataFrame({"head": out}, dtype=object)
 
     with Scratch(docs.sparkSession) as scratch:
         found = repeated_suffixes(docs, kind)
         # a sample of documents with about SAMPLE suffixes sets the bounds of the buckets
         rate = max(1, found.count() // (SAMPLE // 25))
-        sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(heads, "head binary")
+        sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(lean(heads), "head binary")
         heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
         bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
-        rows = docs.join(found, "rid").mapInPandas(lambda f: suffix_rows(f, bounds, buckets, kind), "bucket long, kind int, data binary, rid long, start long, end long")
+        rows = docs.join(found, "rid").mapInPandas(lean(lambda f: suffix_rows(f, bounds, buckets, kind)), "bucket long, kind int, data binary, rid long, start long, end long")
         dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
-        ranges = dealt.mapInPandas(lambda f: resolve(f, kind, buckets), "rid long, start long, end long")
+        ranges = dealt.mapInPandas(lean(lambda f: resolve(f, kind, buckets)), "rid long, start long, end long")
         return scratch.keep(cut(ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))))
 
 
@@ -531,7 +547,7 @@ def strip_passages(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["d", "kept", "n_bytes", "n_removed", "n_spans"])
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("string").alias("d"), "text")
-    got = _with_ranges(rows).select("d", "text", "starts", "ends").mapInPandas(strip, "d string, kept binary, n_bytes long, n_removed long, n_spans long")
+    got = _with_ranges(rows).select("d", "text", "starts", "ends").mapInPandas(lean(strip), "d string, kept binary, n_bytes long, n_removed long, n_spans long")
     return got.select(F.col("d").cast("long").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
