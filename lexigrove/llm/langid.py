@@ -24,7 +24,7 @@ LEAST_SCORE = 0.5
 #: The score is near 1 for any text of some words; the share does not grow with length.
 LEAST_KNOWN, SLACK, TRIAL_DOCS = 0.45, 2, 500
 #: Words whose n-grams are counted at a time.
-STEP = 20_000
+STEP = 5_000
 #: Characters of texts whose words are held at a time; longer texts are taken in portions, cut at white space.
 SLICE = 2_000_000
 SPACE = regex.compile(r"\s")
@@ -146,7 +146,10 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
         .agg(F.count("*").alias("n"))
         .toArrow()
     )
-    return Model(words["lang"].combine_chunks(), words["word"].combine_chunks(), words["n"].to_numpy())
+    model = Model(words["lang"].combine_chunks(), words["word"].combine_chunks(), words["n"].to_numpy())
+    del words
+    release()
+    return model
 
 
 def portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import attach, batches, grouped, lean, parts, repeated
+from lexigrove.llm.common import attach, batches, grouped, lean, parts, release, repeated
 from lexigrove.session import Scratch, cut, cut_by
 
 #: Bytes of a passage.
@@ -21,6 +21,8 @@ LENGTH = 400
 #: Suffixes that go on in more than HOT different ways are told apart by more bytes: their passages are divided among
 #: SPLIT suffixes each, which have more bytes in common, and so on; a suffix of all bytes goes on in one way.
 HOT, SPLIT = 200, 8
+#: Suffixes to divide that are broadcast, 24 bytes each.
+FEW = 200_000
 #: Passages of a text that are hashed at a time, and bits that hold a place among them.
 PART, PLACE = 1 << 18, np.uint64(20)
 #: Suffixes that a task sorts into one run, documents for each bucket, bytes that tell buckets apart,
@@ -411,6 +413,11 @@ def divided(posts: Posts, lows: np.ndarray, level: int) -> tuple[np.ndarray, np.
     return block, of, low, part
 
 
+def _meet(rows: DataFrame, ways: DataFrame, size: int) -> DataFrame:
+    """rows with the columns of ways, null where it lacks their suffix: by broadcast up to FEW suffixes, else by joins."""
+    return rows.join(F.broadcast(ways), "suffix", "left") if size <= FEW else attach(rows, "suffix", ways, "rows")
+
+
 def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
     """(rid, places, lows, levels) for rows (rid, text) that have repeated suffixes. Each level tells
     those apart that go on in more than HOT ways at the level before."""
@@ -449,13 +456,14 @@ def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
             halves = cut(docs.join(hot, "rid").mapInPandas(lean(divide(level)), "rid long, place int, low int, part long, suffix long, block long"))
             ways = halves.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
             ways = cut(ways.where(F.col("ways") > HOT))
-            split = None if ways.isEmpty() else ways
-        rest = found if split is None else attach(found, "suffix", split.select("suffix", "ways", "rows"), "rows").where(F.col("ways").isNull()).select(*found.columns)
+            size = ways.count()
+            split = ways if size else None
+        rest = found if split is None else _meet(found, split, size).where(F.col("ways").isNull()).select(*found.columns)
         rest = rest.select("rid", F.struct("place", "low", F.lit(level).alias("level")).alias("e"))
         settled = rest if settled is None else settled.union(rest)
         if split is None:
             break
-        many = attach(halves, "suffix", split, "rows").where(F.col("ways").isNotNull())
+        many = _meet(halves, split, size).where(F.col("ways").isNotNull())
         posted = cut(many.select("rid", "place", "low", F.col("part").alias("suffix")))
         level += 1
     settled = settled.groupBy("rid").agg(F.sort_array(F.collect_list("e")).alias("e"))
@@ -480,6 +488,7 @@ def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
         rate = max(1, found.count() // (SAMPLE // 25))
         sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(lean(heads), "head binary")
         heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
+        release()
         bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
         rows = docs.join(found, "rid").mapInPandas(lean(lambda f: suffix_rows(f, bounds, buckets, kind)), "bucket long, kind int, data binary, rid long, start long, end long")
         dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
