@@ -27,12 +27,13 @@ class Engine:
     def load(self, path: str) -> Engine:
         """Use the index that save() wrote."""
         self.postings = index.read_shards(self.spark, path)
+        self._n = None
         return self
 
     @property
     def n_docs(self) -> int:
         if self._n is None:
-            self._n = self.records.count()
+            self._n = index.n_documents(self.postings)
         return self._n
 
     def search(self, query: str, limit: int | None = search.TOP) -> DataFrame:
@@ -44,17 +45,24 @@ class Engine:
     def tree(self, taxon: str, depth: int = 10, collapse: bool = False) -> DataFrame:
         """Taxa before species, each by name."""
         nodes = hierarchy.tree(self.edges, taxon).where(F.col("depth") <= depth)
-        return hierarchy.collapsed(nodes, depth) if collapse else nodes.orderBy("depth", "is_species", "name")
+        if collapse:
+            return hierarchy.collapsed(nodes, depth)
+        return nodes.orderBy(hierarchy.sibling_order(F.col("path")), "is_species", "name")
 
     def range(self, taxon: str) -> DataFrame:
         return hierarchy.descendants(self.edges, taxon)
 
-    def crawl(self, link: str, rounds: int = 3) -> DataFrame:
-        """Breadth-first over the pages' links, from a link that starts with /wiki/."""
+    def crawl(self, link: str, rounds: int = 3, only_targets: bool = True) -> DataFrame:
+        """Breadth-first over the pages' links, from a link that starts with /wiki/; only pages of the target class,
+        and the first one, are gone on from."""
         if not link.startswith("/wiki/"):
             raise ValueError("a link starts with /wiki/")
-        steps = html.wanted_links(self.pages).join(self.pages.select("page_id", F.concat(F.lit("/wiki/"), text.page_path(F.col("url"))).alias("src")), "page_id")
+        at = F.regexp_extract("url", r"^(?:[^/?#]*://[^/?#]*)?(/wiki/[^?#]*)", 1)
+        pages = self.pages.select("page_id", "html", at.alias("src")).where("src <> ''")
+        found = html.wanted_links(pages.where(F.col("src") == link))
+        found = found.union(html.wanted_links(pages.where(F.col("src") != link), only_targets=only_targets))
         seed = self.spark.createDataFrame([(link,)], "node string")
+        steps = found.join(pages.select("page_id", "src"), "page_id")
         return frontier.breadth_first(steps.select("src", F.col("href").alias("dst")), seed, rounds)
 
     def stats(self) -> DataFrame:

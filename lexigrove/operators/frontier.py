@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.session import cut
+from lexigrove.session import cut, cut_by
 
 
 def admit(candidates: DataFrame, queued: DataFrame, done: DataFrame, by: str = "href", said: str = "already_crawled") -> DataFrame:
@@ -19,7 +19,7 @@ def admit(candidates: DataFrame, queued: DataFrame, done: DataFrame, by: str = "
 def breadth_first(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """node, depth of what is reached from seeds (node) over links (src, dst) in so many rounds, at the least
     depth. Each round joins only the newest nodes and drops those seen."""
-    links = links.select("src", "dst").distinct()
+    links = cut_by(links.select("src", "dst").distinct(), "src", 1)  # written once; rounds only shuffle the newest nodes
     seen = new = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, rounds + 1):
         step = new.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text
-from lexigrove.session import cut
+from lexigrove.session import cut, cut_by
 
 MARK = "[SPECIES] "
 #: Levels that a walk goes down at most; any tree ends earlier, a graph with cycles too as names come once.
@@ -48,7 +48,7 @@ def children(edges: DataFrame, taxon: str) -> DataFrame:
 def reachable(edges: DataFrame, roots: list[str]) -> DataFrame:
     """(root, name, depth): taxa below each root, each once, at its least depth. Every round is one join of the newest
     names with the edges and an anti-join with those seen; lineage is cut each time."""
-    e = edges.where(~F.col("is_species")).select("parent", "child").distinct()
+    e = cut_by(edges.where(~F.col("is_species")).select("parent", "child").distinct(), "parent", 1)
     names = sorted({r.strip().lower() for r in roots})
     new = edges.sparkSession.createDataFrame([(r, r, 0) for r in names], "root string, name string, depth int")
     seen = new = cut(new)
@@ -71,7 +71,7 @@ def descendants(edges: DataFrame, taxon: str) -> DataFrame:
 def tree(edges: DataFrame, taxon: str) -> DataFrame:
     """path, depth, name, is_species of each node below a taxon, with it. A node with several parents is there
     once for each path; a path goes round no cycle."""
-    e = deduplicated(edges).select("parent", "child", "is_species")
+    e = cut_by(deduplicated(edges).select("parent", "child", "is_species"), "parent", 1)
     root = taxon.strip().lower()
     known = edges.where(F.col("parent") == root).limit(1).select(F.lit(root).alias("name"))
     new = known.select("name", F.array("name").alias("steps"), F.lit(0).alias("depth"), F.lit(False).alias("is_species"))
@@ -86,6 +86,36 @@ def tree(edges: DataFrame, taxon: str) -> DataFrame:
     return out.select(F.concat_ws("/", "steps").alias("path"), "depth", "name", "is_species")
 
 
+def append_edges(edges: DataFrame, path: str) -> None:
+    """Add edges to those at `path`, in folders by the parent's first two letters; readers drop repeats."""
+    edges.select("parent", "child", "is_species", F.substring("parent", 1, 2).alias("prefix2")).repartition("prefix2").write.mode("append").partitionBy("prefix2").parquet(path)
+
+
+def read_edges(spark, path: str) -> DataFrame:
+    return deduplicated(spark.read.parquet(path))
+
+
+def union_of(groups: list[DataFrame]) -> DataFrame:
+    """The edges of several groups of nodes, each once."""
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g)
+    return deduplicated(out)
+
+
+def lines(nodes: DataFrame) -> DataFrame:
+    """path, line: a tree as text, in the order of `path`: below each parent taxa come before species, each by name."""
+    depth = F.size(F.split("path", "/")) - 1
+    count = F.col("species_count") if "species_count" in nodes.columns else F.lit(0)
+    tail = F.when(count > 0, F.concat(F.lit(" ("), count.cast("string"), F.lit(" species)"))).otherwise("")
+    return nodes.select("path", F.concat(F.repeat(F.lit("  "), depth.cast("int")), F.when(depth > 0, "- ").otherwise(""), "name", tail).alias("line"))
+
+
+def sibling_order(path: Column) -> Column:
+    """A sort key of a tree's paths: a parent, then its taxa by name with what is below them, then its species."""
+    return F.transform(F.split(F.regexp_replace(path, r"/\[SPECIES\] .*$", ""), "/"), lambda n: F.concat(F.lit("0"), n))
+
+
 def collapsed(nodes: DataFrame, depth: int = 10) -> DataFrame:
     """name, depth, species_count of taxa down to a depth; species are counted at their parent."""
     parent = F.regexp_replace("path", r"/\[SPECIES\].*$", "")

@@ -18,9 +18,28 @@ def word_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
 
 
+def document_terms(docs: DataFrame, stopwords=None) -> DataFrame:
+    """(doc_id, term, n, tf, leads) of kept words, documents being one row each: n how often, tf that over the number of
+    distinct terms, leads true for one of a document's terms. Nothing is shuffled: a row's words are sorted and runs counted."""
+    return counted_terms(docs.select("doc_id", text.kept(F.col("text"), stopwords).alias("words")))
+
+
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """Adds term, n, tf and leads to rows with an array `words`, which goes; a row for each distinct word."""
+    others = [c for c in rows.columns if c != "words"]
+    w = rows.where(F.size("words") > 0).select(*others, F.array_sort("words").alias("w"))
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    w = w.withColumn("s", first)
+    run = F.transform(
+        "s", lambda at, k: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - at).cast("long").alias("n"), (k == 0).alias("leads"))
+    )
+    got = w.select(*others, F.size("s").alias("size"), F.explode(run).alias("e"))
+    return got.select(*others, "e.term", "e.n", (F.col("e.n") / F.col("size")).alias("tf"), "e.leads")
+
+
 def word_counts(docs: DataFrame, stopwords=None) -> DataFrame:
     """(doc_id, term, n) of kept words."""
-    return text.without_stopwords(word_rows(docs), "term", stopwords).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return document_terms(docs, stopwords).select("doc_id", "term", "n")
 
 
 def term_frequencies(counts: DataFrame) -> DataFrame:
@@ -55,16 +74,13 @@ def species(docs: DataFrame, stopwords=None) -> DataFrame:
 def postings(records: DataFrame) -> DataFrame:
     """One row for each term of each record: tf, the rank that names it, its boosts and base score.
 
-    The rank is the first whose name holds the term as a substring; the array is scanned in place, so
-    that nothing is shuffled but the words.
+    The rank is the first whose name holds the term as a substring; words are counted and ranks found where the
+    record is, and nothing is shuffled.
     """
-    n = records.select("doc_id", "hierarchy", "binomial", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(
-        F.count("*").alias("n"), F.first("hierarchy").alias("hierarchy"), F.first("binomial").alias("binomial")
-    )
     rank = F.get(F.filter("hierarchy", lambda r: F.contains(r["name"], F.col("term"))), F.lit(0))["rank"]
     name = lambda rank: F.get(F.filter("hierarchy", lambda r: r["rank"] == rank), F.lit(0))["name"]
     boost = F.coalesce(*[F.when(F.col("taxonomy_level") == r, F.lit(b)) for r, b in BOOSTS.items()], F.lit(1.0))
-    p = term_frequencies(n).withColumn("taxonomy_level", rank)
+    p = counted_terms(records.select("doc_id", "hierarchy", "binomial", "words")).withColumn("taxonomy_level", rank)
     p = p.withColumns({
         "taxonomy_boost": boost,
         "is_binomial": F.coalesce(F.contains("binomial", F.col("term")), F.lit(False)),
@@ -97,5 +113,25 @@ def read_shards(spark, path: str, prefixes: list[str] | None = None) -> DataFram
     return got if prefixes is None else got.where(F.col("prefix").isin(prefixes))
 
 
+def n_documents(rows: DataFrame) -> int:
+    """How many documents an index holds, by one column of it."""
+    return rows.where("leads").count()
+
+
+def top_terms(counts: DataFrame, letters: int = 2, most: int = 3) -> DataFrame:
+    """prefix, place, term, df: the terms of each prefix that most documents have; ties by term."""
+    df = document_frequencies(counts).withColumn("prefix", F.substring("term", 1, letters))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("m"), "term")))
+    got = df.groupBy("prefix").agg(F.slice(best, 1, most).alias("t")).select("prefix", F.posexplode("t").alias("k", "t"))
+    return got.select("prefix", (F.col("k") + 1).alias("place"), "t.term", (-F.col("t.m")).alias("df"))
+
+
+def terms_by_node(terms: DataFrame, n: int) -> DataFrame:
+    """prefix, node_index, terms: each prefix's batch of terms and the node, of n, that keeps it."""
+    batch = terms.groupBy(text.smart_prefix(F.col("term")).alias("key")).agg(F.count_distinct("term").alias("terms"))
+    node = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long") % n
+    return batch.select(F.col("key").alias("prefix"), node.alias("node_index"), "terms")
+
+
 def prefix_statistics(df: DataFrame, letters: int = 2) -> DataFrame:
     return df.groupBy(F.substring("term", 1, letters).alias("prefix")).agg(F.count("*").alias("terms"))

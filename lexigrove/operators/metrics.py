@@ -49,10 +49,19 @@ def errors(events: DataFrame, kind: str = "error") -> DataFrame:
 
 
 def growth(log: DataFrame, query: str = "event_type", count: str = "value", order=("ts", "event_id")) -> DataFrame:
-    """Rows whose count exceeds all before of that query, with the largest before (0 for none)."""
-    w = Window.partitionBy(query).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.where(F.col(count).isNotNull()).withColumn("previous_value", F.coalesce(F.max(count).over(w), F.lit(0.0)))
-    return rows.where(F.col(count) > F.col("previous_value"))
+    """Rows whose count exceeds all before of that query, with the largest before (0 for none).
+
+    The maxima of hours run up first, a row for each; then each hour's rows by themselves, so that no task holds
+    all of a query's history."""
+    at = F.col(order[0])
+    hour = F.floor((F.unix_micros(at.cast("timestamp")) / 3_600_000_000) if "timestamp" in log.schema[order[0]].dataType.typeName() else at / 3600)
+    rows = log.where(F.col(count).isNotNull()).withColumn("hour_", F.coalesce(hour, F.lit(-(2**62))))
+    hours = rows.groupBy(query, "hour_").agg(F.max(count).alias("m_"))
+    before = F.max("m_").over(Window.partitionBy(query).orderBy("hour_").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(hours.withColumn("b_", before).drop("m_"), [query, "hour_"])
+    w = Window.partitionBy(query, "hour_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("previous_value", F.coalesce(F.greatest(F.max(count).over(w), "b_"), F.lit(0.0)))
+    return rows.where(F.col(count) > F.col("previous_value")).drop("hour_", "b_")
 
 
 def growth_rate(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -60,3 +69,23 @@ def growth_rate(now: DataFrame, before: DataFrame) -> DataFrame:
     got = now.join(before, "event_type").where("previous > 0")
     pct = F.greatest(F.lit(0.0), F.col("current") - F.col("previous")) / F.col("previous") * 100
     return got.select("event_type", "previous", "current", F.round(pct, 2).alias("pct"))
+
+
+def service_statistics(events: DataFrame) -> DataFrame:
+    """One row for each service: ops, nodes, least, average and greatest value, errors aside."""
+    v = F.col("value")
+    return events.groupBy(F.col("event_type").alias("service")).agg(
+        F.count("*").alias("ops"), F.count_distinct("user_id").alias("nodes"), F.min(v).alias("least"), F.avg(v).alias("average"), F.max(v).alias("greatest")
+    )
+
+
+def cluster_statistics(services: DataFrame) -> DataFrame:
+    """One row over all services: services, ops, busiest, share of the busiest."""
+    busiest = F.max_by("service", F.struct("ops", "service"))
+    return services.agg(F.count("*").alias("services"), F.sum("ops").alias("ops"), busiest.alias("busiest"), (F.max("ops") / F.sum("ops")).alias("share"))
+
+
+def resumed(snapshots: DataFrame, since: DataFrame, by: str = "service", at: str = "at", value: str = "ops") -> DataFrame:
+    """Counters after a restart: of each key the last snapshot's value plus what has come since."""
+    last = snapshots.groupBy(by).agg(F.max_by(value, at).alias("was"))
+    return last.join(since.select(by, F.col(value).alias("more")), by, "full").select(by, (F.coalesce("was", F.lit(0)) + F.coalesce("more", F.lit(0))).alias(value))

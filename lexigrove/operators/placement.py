@@ -48,3 +48,26 @@ def rendezvous(keys: DataFrame, ids: list[str]) -> DataFrame:
 def by_link(keys: DataFrame, n: int) -> DataFrame:
     """key, node_index: the first eight digits of the key's SHA-256 modulo n, in the group's own order."""
     return keys.select("key", (F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long") % n).alias("node_index"))
+
+
+def scatter(keys: DataFrame, call, n: int) -> DataFrame:
+    """key, node_index, result, error of call(node_index, key) on each key's node; a call that raises is a row with
+    its error, and the others go on."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for key, node in zip(frame["key"], frame["node_index"], strict=True):
+                try:
+                    out.append((key, node, str(call(node, key)), None))
+                except Exception as e:  # noqa: BLE001  whatever a node may raise
+                    out.append((key, node, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["key", "node_index", "result", "error"])
+
+    return by_link(keys, n).mapInPandas(run, "key string, node_index long, result string, error string")
+
+
+def gathered(answers: DataFrame) -> DataFrame:
+    """node_index, answers, errors of each node."""
+    return answers.groupBy("node_index").agg(F.count("result").alias("answers"), F.count("error").alias("errors"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import text
 from lexigrove.operators import frontier, hierarchy, index, mapreduce, metrics, placement, search
-from lexigrove.session import shared_dir, table
+from lexigrove.session import cut, shared_dir, table
 from lexigrove.sources import html, store
 from lexigrove.streaming import jobs
 
@@ -94,9 +94,9 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     if key not in _held:
         path = f"{shared_dir(spark)}/index-{abs(hash(key)):x}"
         r = records(spark, sf_dir)
-        index.write_index(index.postings(r), path, salts=1 + r.count() // DOCS_A_FILE)
-        rows = spark.read.schema(index.postings(records(spark, sf_dir)).schema).parquet(path)
-        _held[key] = rows, rows.select("doc_id").distinct().count()
+        index.write_index(index.postings(r), path, salts=1 + table(spark, sf_dir, "documents").count() // DOCS_A_FILE)
+        rows = spark.read.schema(index.postings(r).schema).parquet(path)
+        _held[key] = rows, index.n_documents(rows)
     return _held[key]
 
 
@@ -123,7 +123,7 @@ def word_count(spark, sf_dir):
 
 @query(f"{TOK} SELECT doc_id, term, round(tf, 6) AS tf FROM tf")
 def tf(spark, sf_dir):
-    return index.term_frequencies(_counts(spark, sf_dir)).select("doc_id", "term", F.round("tf", 6).alias("tf"))
+    return index.document_terms(table(spark, sf_dir, "documents")).select("doc_id", "term", F.round("tf", 6).alias("tf"))
 
 
 @query(f"{TOK} SELECT term, df FROM dfs")
@@ -132,8 +132,8 @@ def doc_freq(spark, sf_dir):
 
 
 def _with_idf(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
-    n = counts.agg(F.count_distinct("doc_id")).first()[0]
+    counts = cut(index.document_terms(table(spark, sf_dir, "documents")))  # tokenised once
+    n = index.n_documents(counts)
     return counts, index.document_frequencies(counts).withColumn("idf", index.idf(F.lit(n), F.col("df")))
 
 
@@ -145,14 +145,14 @@ def idf(spark, sf_dir):
 @query(f"{TOK} SELECT term, df, round(ln((n_docs + 1) / (df + 1)) + 1, 6) AS idf, n_docs AS documents, {PREFIX} AS prefix FROM dfs, nd")
 def term_stats(spark, sf_dir):
     counts, df = _with_idf(spark, sf_dir)
-    n = counts.agg(F.count_distinct("doc_id")).first()[0]
+    n = index.n_documents(counts)
     return df.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(n).cast("long").alias("documents"), text.smart_prefix(F.col("term")).alias("prefix"))
 
 
 @query(f"{TOK} SELECT doc_id, term, round(tf * (ln((n_docs + 1) / (df + 1)) + 1), 6) AS tfidf FROM tf JOIN dfs USING (term), nd")
 def tfidf(spark, sf_dir):
     counts, df = _with_idf(spark, sf_dir)
-    return index.term_frequencies(counts).join(df, "term").select("doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
+    return counts.join(df, "term").select("doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
 
 
 @query(f"{TOK} SELECT term, {PREFIX} AS prefix FROM dfs")
@@ -430,7 +430,7 @@ def _kv(spark, sf_dir):
 
 @query(f"{KV} SELECT key, source, n_chars FROM kv WHERE key IN ({quoted(KEYS)})")
 def doc_lookup(spark, sf_dir):
-    return store.lookup(_kv(spark, sf_dir), KEYS).select("key", "source", "n_chars")
+    return store.lookup_documents(table(spark, sf_dir, "documents"), KEYS).select("key", "source", "n_chars")
 
 
 @query(f"{KV} SELECT key FROM kv")
@@ -590,3 +590,125 @@ def stream_dedup(spark, sf_dir):
     source = jobs.read_documents(spark, f"{sf_dir}/events.parquet*", _events(spark, sf_dir).schema).select("event_type", "user_id")
     jobs.stream_distinct(source, ["event_type", "user_id"], f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("event_type string, user_id long").parquet(f"{out}/rows")
+
+
+# --- statistics, state, errors, rendering ---------------------------------------------------------------
+
+TRACKED = ["tion", "ther", "thering"]
+_FIXTURE = [
+    (1, "plantae", "citrus limon", True, True),
+    (2, "animalia", "", False, False),
+    (3, None, "", False, False),
+]
+FIXTURE_PAGES = [
+    (1, '<table class="infobox biota"><tr><td>Kingdom:</td><td>Plantae</td></tr><tr><td colspan="2"><span class="binomial">Citrus limon</span></td></tr></table>'),
+    (2, '<table class="biota infobox"><tr><td>Kingdom:</td><td> Animalia </td></tr></table><table class="infobox biota"><tr><td>Kingdom:</td><td>Plantae</td></tr></table>'),
+    (3, "<p>none</p>"),
+]
+_FIXTURE_ROWS = ", ".join(f"({i}, {'NULL' if k is None else repr(k)}, '{b}', {t}, {s})" for i, k, b, t, s in _FIXTURE)
+
+
+@query(f"SELECT * FROM (VALUES {_FIXTURE_ROWS}) AS t(page_id, kingdom, binomial, is_target, is_species)")
+def page_parse_fixture(spark, sf_dir):
+    """Classification tables of pages with known content."""
+    pages = spark.createDataFrame(FIXTURE_PAGES, "page_id int, html string").withColumn("url", F.lit("u"))
+    r, target = html.records(pages), html.is_target(F.col("hierarchy"))
+    kingdom = F.get(F.filter("hierarchy", lambda h: h["rank"] == "kingdom"), F.lit(0))["name"]
+    return r.select("page_id", kingdom.alias("kingdom"), "binomial", target.alias("is_target"), (target & (F.col("binomial") != "")).alias("is_species"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, 'map ValueError: every seventh key' AS error FROM documents WHERE doc_id % 7 = 0")
+def mr_error_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("value"))
+    return mapreduce.map_reduce(d, count_some, add, combiner=add).where("error is not null").select("key", "error")
+
+
+@query(f"""{TREE}, n AS (SELECT parent, count(*) AS k FROM edges WHERE is_species GROUP BY parent)
+SELECT path, repeat('  ', depth) || CASE WHEN depth > 0 THEN '- ' ELSE '' END || name || CASE WHEN k > 0 THEN ' (' || k || ' species)' ELSE '' END AS line
+FROM walk LEFT JOIN n ON name = parent WHERE NOT is_species""")
+def tree_lines(spark, sf_dir):
+    nodes = hierarchy.tree(edges(spark, sf_dir), ROOT)
+    n = nodes.where("is_species").groupBy(F.regexp_replace("path", r"/\[SPECIES\] .*$", "").alias("path")).agg(F.count("*").alias("species_count"))
+    return hierarchy.lines(nodes.where(~F.col("is_species")).join(n, "path", "left"))
+
+
+@query(f"{POST} SELECT term AS query, count(*) FILTER (doc_id % 2 = 0) AS previous, count(*) AS current FROM post WHERE term IN ({quoted(TRACKED)}) GROUP BY term")
+def tracked_queries(spark, sf_dir):
+    """Two runs of tracked queries: over the even documents, then over all."""
+    p, path = indexed(spark, sf_dir)[0], f"{_fresh(spark, 'tracked')}/log"
+    jobs.track(p.where("doc_id % 2 = 0"), TRACKED, path, 1)
+    jobs.track(p, TRACKED, path, 2)
+    return jobs.tracked(spark, path)
+
+
+@query(f"{LINKS} SELECT DISTINCT href AS url FROM links WHERE trim(href) <> ''")
+def queue_snapshot(spark, sf_dir):
+    path = f"{_fresh(spark, 'queue')}/lines"
+    store.save_queue(html.links(table(spark, sf_dir, "pages")), path, "href")
+    return store.restored_queue(spark, path)
+
+
+@query(f"{EDGES} SELECT parent, child, is_species FROM edges")
+def edges_append(spark, sf_dir):
+    """All edges added to those of some, which repeat."""
+    e, path = edges(spark, sf_dir), f"{_fresh(spark, 'edges')}/rows"
+    hierarchy.append_edges(e.where(F.col("parent") == ROOT), path)
+    hierarchy.append_edges(e, path)
+    return hierarchy.read_edges(spark, path).select("parent", "child", "is_species")
+
+
+@query(f"{EDGES} SELECT parent, child FROM edges")
+def group_union(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return hierarchy.union_of([e.where("is_species"), e.where(~F.col("is_species")), e.where(F.col("parent") == ROOT)]).select("parent", "child")
+
+
+@query(f"{TOK} SELECT {PREFIX} AS prefix, CAST(('0x' || substr(sha256({PREFIX}), 1, 8)) AS BIGINT) % {len(_IDS)} AS node_index, count(DISTINCT term) AS terms FROM dfs GROUP BY 1, 2")
+def terms_by_node(spark, sf_dir):
+    return index.terms_by_node(_counts(spark, sf_dir).select("term"), len(_IDS))
+
+
+@query(f"""{TOK}, r AS (SELECT substr(term, 1, 2) AS prefix, term, df, row_number() OVER (PARTITION BY substr(term, 1, 2) ORDER BY df DESC, term) AS place FROM dfs)
+SELECT prefix, place, term, df FROM r WHERE place <= 3""")
+def prefix_top_words(spark, sf_dir):
+    return index.top_terms(_counts(spark, sf_dir))
+
+
+@query(f"{KV}, q(key) AS (VALUES {', '.join(f'({k!r})' for k in [*KEYS, '/wiki/none'])}) SELECT q.key, n_chars IS NOT NULL AS found, coalesce(n_chars, 0) AS n_chars FROM q LEFT JOIN kv ON q.key = kv.key")
+def queue_documents(spark, sf_dir):
+    queue = spark.createDataFrame([(k,) for k in [*KEYS, "/wiki/none", KEYS[0]]], "key string")
+    got = store.queue_with_documents(queue, _kv(spark, sf_dir).select("key", "n_chars"))
+    return got.select("key", F.col("n_chars").isNotNull().alias("found"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+@query("SELECT event_type AS service, count(*) AS ops, count(DISTINCT user_id) AS nodes, min(value) AS least, round(avg(value), 6) AS average, max(value) AS greatest FROM events GROUP BY 1")
+def service_stats(spark, sf_dir):
+    return metrics.service_statistics(_events(spark, sf_dir)).withColumn("average", F.round("average", 6))
+
+
+@query("""WITH s AS (SELECT event_type AS service, count(*) AS ops FROM events GROUP BY 1)
+SELECT count(*) AS services, CAST(sum(ops) AS BIGINT) AS ops, arg_max(service, (ops, service)) AS busiest, round(max(ops) / sum(ops), 6) AS share FROM s""")
+def cluster_stats(spark, sf_dir):
+    return metrics.cluster_statistics(metrics.service_statistics(_events(spark, sf_dir))).withColumn("share", F.round("share", 6))
+
+
+@query("SELECT event_type AS service, count(*) AS ops FROM events GROUP BY 1")
+def metrics_resume(spark, sf_dir):
+    """Two snapshots of the even events' counts so far, and the odd ones since."""
+    path, e = f"{_fresh(spark, 'metrics')}/rows", _events(spark, sf_dir)
+    ops = lambda rows: rows.groupBy(F.col("event_type").alias("service")).agg(F.count("*").alias("ops"))
+    store.append_snapshot(ops(e.where("event_id % 4 = 0")), path, 1)
+    store.append_snapshot(ops(e.where("event_id % 2 = 0")), path, 2)
+    return metrics.resumed(spark.read.parquet(path), ops(e.where("event_id % 2 <> 0")))
+
+
+def answer_some(node, key):
+    if node == 3:
+        raise ConnectionError("node is down")
+    return len(key)
+
+
+@query(f"""{KV}, n AS (SELECT CAST(('0x' || substr(sha256(key), 1, 8)) AS BIGINT) % {len(_IDS)} AS node_index FROM kv)
+SELECT node_index, count(*) FILTER (node_index <> 3) AS answers, count(*) FILTER (node_index = 3) AS errors FROM n GROUP BY 1""")
+def scatter_gather(spark, sf_dir):
+    return placement.gathered(placement.scatter(_kv(spark, sf_dir).select("key"), answer_some, len(_IDS)))

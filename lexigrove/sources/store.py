@@ -25,6 +25,15 @@ def get(spark, path: str, key: str, buckets: int = 64) -> DataFrame:
     return rows.where((F.col("bucket") == which) & (F.col("key") == key))
 
 
+KEY = "/wiki/doc_"
+
+
+def lookup_documents(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keyed() documents of some keys; the filter is on the stored id, and reaches the scan."""
+    ids = [int(k[len(KEY) :]) for k in keys if k.startswith(KEY) and k[len(KEY) :].isdecimal()]
+    return keyed(docs.where(F.col("doc_id").isin(ids)))
+
+
 def lookup(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(F.col("key").isin(keys))
 
@@ -48,3 +57,28 @@ def restored(lines: DataFrame) -> DataFrame:
     """seq, url of the distinct lines that aren't blank in (text), in the order of their first occurrence."""
     urls = lines.select(F.posexplode(F.split("text", "\n")).alias("seq", "url")).where(F.length(F.trim("url")) > 0)
     return urls.groupBy("url").agg(F.min("seq").alias("seq")).select("seq", "url")
+
+
+def save_queue(urls: DataFrame, path: str, by: str = "url") -> None:
+    """A snapshot of a queue: a text file's lines, for restored_queue()."""
+    urls.select(F.col(by).alias("value")).write.mode("overwrite").text(path)
+
+
+def restored_queue(spark, path: str) -> DataFrame:
+    """url of each distinct line that isn't blank; seeds are files of this form, too."""
+    return spark.read.text(path).select(F.col("value").alias("url")).where(F.length(F.trim("url")) > 0).distinct()
+
+
+def queue_with_documents(queue: DataFrame, docs: DataFrame, by: str = "key") -> DataFrame:
+    """Each key in the queue, once, with its document or nulls."""
+    return queue.select(by).distinct().join(docs, by, "left")
+
+
+def append_snapshot(rows: DataFrame, path: str, at: int) -> None:
+    """State as of `at`; later snapshots count (latest)."""
+    rows.withColumn("at", F.lit(at)).write.mode("append").parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A log as CSV files with a header."""
+    rows.write.mode("append").option("header", True).csv(path)

@@ -130,3 +130,49 @@ def test_engine(spark):
     assert e.command("tree plantae --depth=1").count() == 2
     with pytest.raises(ValueError):
         e.command("crawl nowhere")
+
+
+def test_crawl_of_targets(spark):
+    from lexigrove.engine import Engine
+
+    box = '<table class="infobox biota"><tr><td>Kingdom:</td><td>{}</td></tr></table>'
+    rows = [(1, "https://host/wiki/A", '<a href="/wiki/B"></a><a href="/wiki/C"></a>'), (2, "https://host/wiki/B", box.format("Plantae") + '<a href="/wiki/D"></a>'), (3, "/wiki/C", box.format("Animalia") + '<a href="/wiki/E"></a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, n_chars long")
+    e = Engine(spark, docs, pages=pages)
+    assert {(r["node"], r["depth"]) for r in e.crawl("/wiki/A").collect()} == {("/wiki/A", 0), ("/wiki/B", 1), ("/wiki/C", 1), ("/wiki/D", 2)}
+    assert {r["node"] for r in e.crawl("/wiki/A", only_targets=False).collect()} == {f"/wiki/{x}" for x in "ABCDE"}
+
+
+def test_pause_and_resume(spark, tmp_path):
+    """A job that is paused, and one made anew over its checkpoint, handle each document once."""
+    from lexigrove.streaming import jobs
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda k: spark.createDataFrame([(k, f"word{'abc'[k]} common")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+    put(0)
+    start = lambda: jobs.stream_index(jobs.read_documents(spark, src, "doc_id long, text string"), f"{out}/rows", f"{out}/check", interval="1 second")
+    job = jobs.Job(start).resume().caught_up()
+    assert job.progress() and sum(n for _, n, _ in job.progress()) == 1
+    job.pause()
+    put(1)
+    job.resume().caught_up().pause()
+    put(2)
+    jobs.Job(start).resume().caught_up().pause()
+    got = {r["term"]: r["df"] for r in index.document_frequencies(jobs.current_index(spark, f"{out}/rows")).collect()}
+    assert got == {"common": 3, "worda": 1, "wordb": 1, "wordc": 1}
+
+
+def test_sibling_order(spark):
+    e = _edges(spark, [("r", "b"), ("r", "[SPECIES] /wiki/A"), ("r", "a"), ("a", "[SPECIES] /wiki/Z"), ("a", "z"), ("z", "[SPECIES] /wiki/Y")])
+    from lexigrove.engine import Engine
+
+    docs = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, n_chars long")
+    names = [r["name"] for r in Engine(spark, docs, e).tree("r").collect()]
+    assert names[0] == "r" and names.index("a") < names.index("z") < names.index("b")
+    assert {r["line"] for r in hierarchy.lines(hierarchy.tree(e, "r").where("not is_species")).collect()} == {"r", "  - a", "    - z", "  - b"}
+
+
+def test_growth_log_as_csv(spark, tmp_path):
+    store.write_csv(spark.createDataFrame([("q", 1.0)], "query string, pct double"), str(tmp_path / "log"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "log")).collect()] == [("q", "1.0")]
