@@ -26,7 +26,9 @@ def op4_jaccard_join(spark, sf_dir):
 
 def op5_suffix_dedup(spark, sf_dir):
     got = substring.strip_passages(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # cut characters, if any, become U+FFFD in kept_text
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("kept_text"))
 
 
 def op6_url_filters(spark, sf_dir):
