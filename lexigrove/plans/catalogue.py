@@ -355,11 +355,11 @@ def page_links_filtered(spark, sf_dir):
     return html.wanted_links(table(spark, sf_dir, "pages"), "/")
 
 
-_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<"}
-_BODY = r"""regexp_replace(regexp_replace(html, '(<script[^>]*>[^<]*)<(/p>[^<]*</script>)', '\1' || chr(1) || '\2', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"""
-for _from, _to in [("chr(1)", "<"), *((f"'{k}'", v) for k, v in _ENTITIES.items())]:
-    _BODY = f"replace({_BODY}, {_from}, '{_to}')"
+_BODY = "regexp_replace(html, '(<script[^>]*>[^<]*)<(/p>[^<]*</script>)', '\\1' || chr(1) || '\\2', 'g')"
+for _from, _to in {"&copy;": "©", "&middot;": "·", "&quot;": '"'}.items():
+    _BODY = f"replace({_BODY}, '{_from}', '{_to}')"
 _BODY = f"regexp_replace({_BODY}, '&amp;?', '&', 'g')"  # titles may be cut within an entity
+_BODY = f"replace(regexp_replace({_BODY}, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), chr(1), '<')"
 
 
 @query(f"SELECT page_id, {_BODY} AS body FROM pages")
