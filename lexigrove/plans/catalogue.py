@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text
-from lexigrove.operators import frontier, hierarchy, index, mapreduce, metrics, placement, search
-from lexigrove.session import cut, shared_dir, table
-from lexigrove.sources import html, store
-from lexigrove.streaming import jobs
+from lexigrove.operators import frontier, hierarchy, index, mapreduce, metrics, placement, querier, search
+from lexigrove.session import cut, cut_by, shared_dir, table
+from lexigrove.sources import fetch, html, store, summaries
+from lexigrove.streaming import crawl, jobs, levels, recovery, schedule
 
 QUERY, SINGLE, RAW_QUERY = "tion ther thering ble tion", "tion", "Red-Leaf  TREES the water-Plants"
 ROOT, BFS_ROUNDS = "africa", 3
@@ -719,3 +719,207 @@ def answer_some(node, key):
 SELECT node_index, count(*) FILTER (node_index <> 3) AS answers, count(*) FILTER (node_index = 3) AS errors FROM n GROUP BY 1""")
 def scatter_gather(spark, sf_dir):
     return placement.gathered(placement.scatter(_kv(spark, sf_dir).select("key"), answer_some, len(_IDS)))
+
+
+# --- fetches, crawls, levels, schedules, recovery -------------------------------------------------------
+
+
+class Planned:
+    """A fetch whose answers follow from a url's length: time out, fail once, twice or always, or give the url back."""
+
+    def __init__(self):
+        self.tries: dict[str, int] = {}
+
+    def __call__(self, url: str, left: float) -> str:
+        kind = len(url) % 7
+        n = self.tries[url] = self.tries.get(url, 0) + 1
+        if kind == 0:
+            raise TimeoutError(url)
+        if kind == 3 or n <= kind < 3:
+            raise ConnectionError(url)
+        return url[::-1]
+
+
+def _outcomes(spark, sf_dir):
+    # the pages' own hosts, without a wait: throttle_schedule has those
+    return fetch.fetched(table(spark, sf_dir, "pages").select("page_id", "url"), Planned(), fetch.StepClock, "page_id", most=1 << 30, window=0)
+
+
+@query("""SELECT url, CASE WHEN length(url) % 7 IN (0, 3) THEN 'failed' ELSE 'success' END AS status,
+CASE length(url) % 7 WHEN 0 THEN 'timeout' WHEN 3 THEN 'network' END AS kind,
+CASE length(url) % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END AS attempts,
+CAST(CASE length(url) % 7 WHEN 0 THEN 3000 WHEN 1 THEN 1000 WHEN 2 THEN 3000 WHEN 3 THEN 3000 ELSE 0 END AS BIGINT) AS waited_ms,
+CASE WHEN length(url) % 7 NOT IN (0, 3) THEN reverse(url) END AS html FROM pages""")
+def fetch_outcomes(spark, sf_dir):
+    """Each page's url, fetched with retries by a function that fails now and then."""
+    return _outcomes(spark, sf_dir).select("url", "status", "kind", "attempts", "waited_ms", "html")
+
+
+@query("""WITH p AS (SELECT length(url) % 7 AS k FROM pages),
+t AS (SELECT CASE k WHEN 0 THEN 'timeout' ELSE 'network' END AS kind, sum(CASE k WHEN 0 THEN 3 ELSE k END) AS errors FROM p WHERE k < 4 GROUP BY 1)
+SELECT kind, CAST(errors AS BIGINT) AS errors FROM t UNION ALL SELECT 'all', CAST(coalesce(sum(errors), 0) AS BIGINT) FROM t""")
+def fetch_error_kinds(spark, sf_dir):
+    return fetch.error_kinds(_outcomes(spark, sf_dir))
+
+
+#: Events lie minutes apart, so that a day is the window in which a user has 3 of them.
+DAY = 86_400_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS came, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+r AS (
+  SELECT event_id, user_id, k, came, came AS start, CAST(NULL AS BIGINT) AS s2, CAST(NULL AS BIGINT) AS s3 FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.k, e.came,
+    CASE WHEN r.s3 IS NOT NULL AND greatest(e.came, r.start) - r.s3 < {DAY} THEN r.s3 + {DAY} + 10 ELSE greatest(e.came, r.start) END, r.start, r.s2
+  FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1)
+SELECT event_id, user_id AS host, came AS came_ms, start AS start_ms, start - came AS wait_ms FROM r""")
+def throttle_schedule(spark, sf_dir):
+    """When each user's events may start if 3 a day may."""
+    return fetch.admitted(_events(spark, sf_dir), "user_id", "ts", "event_id", window=DAY)
+
+
+@query(SQL["bfs_frontier"])
+def stream_crawl(spark, sf_dir):
+    """As bfs_frontier, by a stream that admits each node once and feeds its own queue."""
+    key = lambda letter, c: F.concat(F.lit(letter), c)
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    there = l.select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.col("l_partkey").cast("int").alias("pos"))
+    back = l.select(key("p", "l_partkey").alias("src"), key("s", "l_suppkey").alias("dst"), F.col("l_suppkey").cast("int").alias("pos"))
+    path = _fresh(spark, "crawl")
+    crawl.seed(spark, [f"s{l.agg(F.min('l_suppkey')).first()[0]}"], path)
+    crawl.run(spark, crawl.over_links(cut_by(there.union(back), "src", 1)), path, BFS_ROUNDS)
+    return crawl.crawled(spark, path).select("node", "depth")
+
+
+@query(f"{TOK} SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY term")
+def levels_index(spark, sf_dir):
+    """Batches of documents that come one after the other, the first two once more with the last, in levels."""
+    d = table(spark, sf_dir, "documents").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(6)).cast("int"))
+    rows = cut(index.document_terms(d.select("doc_id", "text")).join(d.select("doc_id", "batch").distinct(), "doc_id"))
+    runs = levels.index_levels(spark, _fresh(spark, "levels"))
+    for k, some in enumerate([[0], [1], [2], [3], [4], [5, 0, 1]]):
+        runs.append(rows.where(F.col("batch").isin(some)).drop("batch").withColumn("version", F.lit(k).cast("long")), k)
+    return runs.current().groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+
+
+@query(f"{POST} SELECT term AS query, count(*) AS count, 'driver' AS node, CAST(0 AS BIGINT) AS previous_count FROM post WHERE term IN ({quoted(TRACKED)}) GROUP BY term")
+def tracked_growth(spark, sf_dir):
+    """A schedule's runs before there is an index, with it, and with it again: only growth is logged."""
+    p, path = indexed(spark, sf_dir)[0], _fresh(spark, "tracker")
+    tracker = schedule.Tracker(spark, lambda q: 0, TRACKED, path)
+    tracker.run_times(1)
+    tracker.count = schedule.counter(lambda: p)
+    tracker.run_times(4)
+    return tracker.log().select("query", "count", "node", "previous_count")
+
+
+@query("""SELECT 'documents' AS job, 'crash,pause' AS causes, count(*) AS n FROM documents
+UNION ALL SELECT 'events', 'pause,pause', count(*) FROM events""")
+def recovered_streams(spark, sf_dir):
+    """Two streams that are paused twice, one of which crashes in its first batch: each row is handled once."""
+    path = _fresh(spark, "recovery")
+    crashed = []
+
+    def start(name):
+        source = jobs.read_documents(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
+
+        def write(batch, number):
+            if name == "documents" and not crashed:
+                crashed.append(number)
+                raise RuntimeError("lost")
+            batch.select(F.lit(1).alias("one")).write.mode("overwrite").parquet(f"{path}/rows/job={name}/batch={number}")
+
+        return lambda: source.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint-{name}").trigger(processingTime="0 seconds").start()
+
+    with recovery.Recovery(spark, {n: jobs.Job(start(n)) for n in ("documents", "events")}) as r:
+        r.settle()
+        r.cycle()
+        r.settle()
+        r.cycle()
+        stops = r.table()
+    n = spark.read.parquet(f"{path}/rows").groupBy("job").agg(F.count("*").alias("n"))
+    causes = stops.groupBy("job").agg(F.array_sort(F.collect_list("cause")).alias("c")).select("job", F.array_join("c", ",").alias("causes"))
+    return causes.join(n, "job")
+
+
+_ASKED = """a AS (SELECT CAST(user_id % 8 AS VARCHAR) AS node, CASE WHEN event_type = 'click' THEN 'range' ELSE 'query' END AS kind,
+event_type = 'error' AS failed, event_id % 5 AS results, value AS ms FROM events),
+s AS (SELECT node, count(*) FILTER (kind = 'query') AS queries, count(*) FILTER (kind = 'range') AS ranges, count(*) AS total,
+  count(*) FILTER (kind = 'query' AND failed) AS failed, count(*) FILTER (kind = 'query' AND NOT failed AND results = 0) AS empty,
+  CAST(coalesce(sum(results) FILTER (kind = 'query' AND NOT failed), 0) AS BIGINT) AS results,
+  coalesce(avg(coalesce(ms, 0)) FILTER (kind = 'query'), 0) AS avg_query_ms, coalesce(avg(coalesce(ms, 0)) FILTER (kind = 'range'), 0) AS avg_range_ms FROM a GROUP BY node)"""
+
+
+def _asked(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "range").otherwise("query")
+    return _events(spark, sf_dir).select((F.col("user_id") % 8).cast("string").alias("node"), kind.alias("kind"), (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 5).alias("results"), F.col("value").alias("ms"))
+
+
+@query(f"WITH {_ASKED} SELECT node, queries, ranges, total, failed, empty, results, round(avg_query_ms, 6) AS avg_query_ms, round(avg_range_ms, 6) AS avg_range_ms, round(coalesce(results / nullif(queries - failed, 0), 0), 6) AS avg_results FROM s")
+def querier_stats(spark, sf_dir):
+    """Events as questions that were asked of nodes."""
+    got = querier.node_statistics(_asked(spark, sf_dir))
+    return got.withColumns({c: F.round(c, 6) for c in ("avg_query_ms", "avg_range_ms", "avg_results")})
+
+
+@query(f"""WITH {_ASKED} SELECT count(*) AS nodes, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(ranges) AS BIGINT) AS ranges, CAST(sum(total) AS BIGINT) AS total,
+CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(empty) AS BIGINT) AS empty, CAST(sum(results) AS BIGINT) AS results, round(avg(avg_query_ms), 6) AS avg_query_ms, round(avg(avg_range_ms), 6) AS avg_range_ms,
+round(coalesce(sum(results) / nullif(sum(queries) - sum(failed), 0), 0), 6) AS avg_results FROM s""")
+def querier_cluster_stats(spark, sf_dir):
+    got = querier.cluster_statistics(querier.node_statistics(_asked(spark, sf_dir)))
+    return got.withColumns({c: F.round(c, 6) for c in ("avg_query_ms", "avg_range_ms", "avg_results")})
+
+
+@query("""SELECT event_type AS query, value AS count, ts AS timestamp, user_id AS node FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, user_id, value DESC) = 1""")
+def growth_merge(spark, sf_dir):
+    """What all users, as nodes, report last of each event type."""
+    e = _events(spark, sf_dir)
+    return schedule.merged(e.select(F.col("event_type").alias("query"), F.col("ts").alias("timestamp"), F.col("value").alias("count"), F.col("user_id").alias("node")))
+
+
+#: Keys of one read.
+MANY = 1000
+
+
+@query(f"{KV} SELECT key, source, n_chars FROM kv WHERE doc_id IN (SELECT doc_id FROM labels ORDER BY doc_id LIMIT {MANY})")
+def doc_multiget(spark, sf_dir):
+    """The documents of a thousand labelled ids, read in one go from all documents, stored sorted by key."""
+    key = (spark.sparkContext.applicationId, sf_dir, "kv")
+    if key not in _held:
+        path, kv = f"{shared_dir(spark)}/kv-{abs(hash(key)):x}", _kv(spark, sf_dir).select("key", "source", "n_chars")
+        store.put_sorted(kv, path)
+        _held[key] = path, kv.schema, [r["key"] for r in store.keyed(table(spark, sf_dir, "labels").select("doc_id").orderBy("doc_id").limit(MANY)).collect()]
+    path, schema, keys = _held[key]
+    return store.get_many(spark, path, keys, schema)
+
+
+_FORMS = {0: r'<a href="\1"', 1: r"<A CLASS='b > c' HREF='\1'", 2: r"<a id=x hReF = \1 "}
+_PLAIN = '<a href="([^"\'<>\\s&]+)"'
+
+
+@query(f"""WITH h AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)', ' ', 'g') AS html FROM pages),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href FROM h)
+SELECT page_id, form, replace(replace(href, '&quot;', '"'), '&amp;', '&') AS href, count(*) AS n FROM l, (VALUES (0), (1), (2)) f(form) GROUP BY ALL""")
+def page_anchors(spark, sf_dir):
+    """All pages in three forms: as they are, with single quotes and capitals, and without quotes."""
+    pages = table(spark, sf_dir, "pages")
+    found = None
+    for form, to in _FORMS.items():
+        some = html.anchors(pages.select("page_id", F.regexp_replace("html", _PLAIN, to.replace("\\1", "$1")).alias("html"))).select("page_id", F.lit(form).alias("form"), "href")
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("page_id", "form", "href").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS t, lower(regexp_extract(url, '([a-z]+)', 1)) AS b FROM pages),
+s AS (SELECT *, CASE WHEN page_id % 5 = 0 OR page_id % 7 = 0 OR page_id % 11 = 0 OR t = '' THEN b ELSE t END AS u FROM p)
+SELECT page_id, upper(substr(u, 1, 1)) || substr(u, 2) AS title,
+  CASE WHEN page_id % 5 = 0 OR page_id % 11 = 0 THEN '' ELSE regexp_replace(t || chr(10) || url, '[\x00-\x1F]', ' ', 'g') END AS description FROM s""")
+def summary_join(spark, sf_dir):
+    """Pages with the summaries that they have: each fifth has none, each seventh isn't found, each eleventh's isn't JSON."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("t"), F.lower(F.regexp_extract("url", "([a-z]+)", 1)).alias("binomial"))
+    k = F.col("page_id")
+    told = F.to_json(F.struct(F.when(k % 7 == 0, "Not found.").otherwise(F.col("t")).alias("title"), F.concat("t", F.lit("\n"), "url").alias("extract"), k.alias("id")))
+    payload = F.when(k % 11 == 0, F.concat(F.lit("<html>"), told)).otherwise(told)
+    return summaries.with_summaries(p.drop("t"), p.where(k % 5 != 0).select("url", payload.alias("payload"))).select("page_id", "title", "description")

@@ -118,6 +118,32 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(found).alias("href"))
 
 
+#: What no tag is looked for in: comments, scripts and styles, to the page's end if they aren't closed.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: An attribute: a name, and a value in double quotes, single quotes or none. Quantifiers give nothing back, so that a long tag
+#: takes no stack.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+"""
+ANCHOR = rf"(?i)<a(?=[\s/])((?:[\s/]*+{ATTRIBUTE})*+)[\s/]*+>"
+VALUE = r"""^[^\s/>][^\s/>=]*+\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*+))"""
+#: Entities that are read in an href, the ampersand last.
+ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, pos, href of every anchor with an href, in any case and quoting, pos from 0 in each page.
+
+    Tags are read attribute by attribute, by expressions: of several hrefs of one anchor the first counts, an href without a value is
+    empty, `>` in quotes ends no tag, and comments, scripts and styles hold no anchors.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
+    href = F.transform(tags, lambda t: F.get(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(r"(?i)^href(?:$|[\s=])")), F.lit(0)))
+    found = pages.select("page_id", F.posexplode(F.filter(href, lambda h: h.isNotNull())).alias("pos", "a"))
+    value = F.concat(*[F.regexp_extract("a", VALUE, k) for k in (1, 2, 3)])
+    for entity, character in ENTITIES.items():
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return found.select("page_id", "pos", value.alias("href"))
+
+
 def wanted(href: Column, start: str = "/wiki/") -> Column:
     bad = F.contains(href, F.lit(UNWANTED[0]))
     for x in UNWANTED[1:]:
@@ -132,26 +158,3 @@ def wanted_links(pages: DataFrame, start: str = "/wiki/", only_targets: bool = F
     if only_targets:
         found = F.when(is_target(parsed("html")["hierarchy"]), found)
     return pages.select("page_id", F.explode(found).alias("href"))
-
-
-def fetched(urls: DataFrame, fetch, tries: int = 3, delay: float = 1.0) -> DataFrame:
-    """url, html, error of each url by a function fetch(url) -> str, tried again after delay, 2 * delay, ..."""
-    import time
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for url in frame["url"]:
-                html = error = None
-                for k in range(tries):
-                    try:
-                        html, error = fetch(url), None
-                        break
-                    except Exception as e:  # noqa: BLE001  whatever a fetch may raise becomes a row
-                        error = f"{type(e).__name__}: {e}"
-                        if k + 1 < tries:
-                            time.sleep(delay * 2**k)
-                rows.append((url, html, error))
-            yield pd.DataFrame(rows, columns=["url", "html", "error"])
-
-    return urls.select("url").mapInPandas(run, "url string, html string, error string")
