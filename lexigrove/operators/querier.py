@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.session import Scratch, cut
+
 #: A question that was asked: `range` questions are those for descendants.
 ASKED = "node string, kind string, query string, ms double, results long, failed boolean"
 #: The questions that probe a service, and seconds between them.
@@ -17,29 +19,33 @@ PROBES = ("citrus", "leafy sour", "north water seed")
 class Querier:
     """Asks questions, of which each becomes a row of ASKED in the table at `path`.
 
-    answer(query) and descend(taxon) give frames. Their rows are counted while the answer is made, by an observation, before
-    any limit of the caller's; an answer that raises is a failed question without rows.
+    answer(query) and descend(taxon) give frames. An answer is written to the shared folder once, where an observation counts its rows
+    as they pass; only the rows asked for come to the driver. An answer that raises is a failed question without rows.
     """
 
     def __init__(self, spark: SparkSession, path: str, answer: Callable[[str], DataFrame], descend: Callable[[str], DataFrame] | None = None, node: str = "driver", clock: Callable[[], float] = time.monotonic):
         self.spark, self.path, self.node, self.clock = spark, path, node, clock
         self.kinds = {"query": answer, "range": descend}
 
-    def ask(self, query: str, kind: str = "query", limit: int = 20) -> list:
-        """The first rows of an answer; raises what the answer raised, after it is written down."""
+    def ask(self, query: str, kind: str = "query", limit: int = 20, order: str | None = None) -> tuple[list, int]:
+        """The first `limit` rows of an answer, by a column if one is named, and how many it has in all; raises what the answer
+        raised, after it is written down."""
         rows, error, n, began = [], None, 0, self.clock()
         try:
-            seen = Observation()
-            rows = self.kinds[kind](query).observe(seen, F.count(F.lit(1)).alias("n")).collect()
-            n = seen.get["n"]
+            with Scratch(self.spark):
+                seen = Observation()
+                whole = cut(self.kinds[kind](query).observe(seen, F.count(F.lit(1)).alias("n")))
+                n = seen.get["n"]
+                if limit:
+                    rows = (whole.orderBy(order) if order else whole).limit(limit).collect()
         except Exception as e:  # noqa: BLE001  counted, then raised
             error = e
-        ms = (self.clock() - began) * 1000
+        ms = float(self.clock() - began) * 1000
         told = self.spark.createDataFrame([(self.node, kind, query, ms, n, error is not None)], ASKED)
         told.coalesce(1).write.mode("append").parquet(self.path)
         if error is not None:
             raise error
-        return rows[:limit]
+        return rows, n
 
     def asked(self) -> DataFrame:
         return self.spark.read.schema(ASKED).parquet(self.path)
@@ -52,8 +58,8 @@ class Querier:
                 time.sleep(pause)
             began = self.clock()
             try:
-                counts.append(len(self.ask(q, limit=None)))
-                times.append((self.clock() - began) * 1000)
+                counts.append(self.ask(q, limit=0)[1])
+                times.append(float(self.clock() - began) * 1000)
             except Exception:  # noqa: BLE001  the log has it
                 times.append(0.0)
                 counts.append(0)

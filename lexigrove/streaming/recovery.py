@@ -98,7 +98,7 @@ class Recovery:
             job.pause()
             took = None if crashed else (time.time() - began) * 1000
             self.watch.heard(run, ("ended",), self.patience)  # events of the run's batches came before
-            stood.append((name, "crash" if crashed else "pause", took, self.watch.batches.get(run, 0), self.watch.rows.get(run, 0), str(error).split("\n")[0] if crashed else None))
+            stood.append((name, "crash" if crashed else "pause", took, self.watch.batches.get(run, 0), self.watch.rows.get(run, 0), str(error) if crashed else None))
         if meanwhile is not None:
             meanwhile()
         began = {}
