@@ -8,8 +8,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions import text
+from lexigrove.functions import display, text
 from lexigrove.operators import frontier, hierarchy, index, metrics, search
+from lexigrove.session import cut
 from lexigrove.sources import html
 
 HELP = "<query> [-d] | crawl /wiki/PAGE | tree TERM [--collapse|-c] [--depth=N|-d=N] | stats | save PATH | help | exit"
@@ -21,12 +22,19 @@ class Engine:
     def __init__(self, spark: SparkSession, documents: DataFrame, edges: DataFrame | None = None, pages: DataFrame | None = None, events: DataFrame | None = None, stopwords=None):
         self.spark, self.documents, self.edges, self.pages, self.events, self.stopwords = spark, documents, edges, pages, events, stopwords
         self.records = index.species(documents, stopwords)
-        self.postings = index.postings(self.records)
+        self._postings: DataFrame | None = None
         self._n: int | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        """The index, written once at its first use in the order of prefixes and terms, so that a search reads the row groups of its own."""
+        if self._postings is None:
+            self._postings = cut(index.postings(self.records).repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term"))
+        return self._postings
+
     def load(self, path: str) -> Engine:
         """Use the index that save() wrote."""
-        self.postings = index.read_shards(self.spark, path)
+        self._postings = index.read_shards(self.spark, path)
         self._n = None
         return self
 
@@ -68,8 +76,14 @@ class Engine:
     def stats(self) -> DataFrame:
         return metrics.summary(self.events)
 
-    def save(self, path: str) -> None:
-        index.write_index(self.postings, path)
+    def save(self, path: str, docs_a_file: int = 1_000_000) -> None:
+        index.write_index(self.postings, path, salts=1 + self.n_docs // docs_a_file)
+
+    def boxes(self, query: str, top: int = 5) -> DataFrame:
+        """rank, box: the first results as framed text, with descriptions."""
+        found = self.search(query, top).join(self.documents.select("doc_id", "text"), "doc_id", "left").orderBy("rank")
+        key = F.concat(F.lit("/wiki/doc_"), F.col("doc_id").cast("string"))
+        return display.result_boxes(found, len(text.query_terms(query, self.stopwords)), key, F.col("text"))
 
     def command(self, line: str) -> DataFrame | str | None:
         """One line of the command language; None ends."""

@@ -35,8 +35,9 @@ def load_stopwords(spark: SparkSession, path: str) -> list[str]:
 
 def tokens(text: Column) -> Column:
     """Words of ASCII letters, digits and underscores, lower-cased; only those of over two letters a-z stay."""
-    words = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
-    return F.filter(words, lambda w: w.rlike("^[a-z]{3,}$"))
+    # all at once, without a function for each word; two signs whose lower case is a Latin letter are none here
+    small = F.lower(F.regexp_replace(text, "[\u212a\u0130]", " "))
+    return F.regexp_extract_all(small, F.lit("(?<![a-z0-9_])[a-z]{3,}+(?![a-z0-9_])"), F.lit(0))
 
 
 def kept(text: Column, stopwords=None) -> Column:
@@ -115,12 +116,6 @@ def hash_id(key: Column) -> Column:
     return F.sha2(F.concat(F.lit('"'), escaped, F.lit('"')), 256)
 
 
-def wrap(text: str, width: int) -> list[str]:
-    """Lines of whole words, each as long as fits."""
-    lines: list[str] = []
-    for word in text.split():
-        if lines and len(lines[-1]) + 1 + len(word) <= width:
-            lines[-1] += " " + word
-        else:
-            lines.append(word)
-    return lines
+def message_id(key: Column, at: Column) -> Column:
+    """As hash_id(), of the key's JSON text with the time of the message in ms: the same key has another id at another time."""
+    return F.sha2(F.to_json(F.struct(F.coalesce(key, F.lit("")).alias("message"), F.unix_millis(at).alias("date"))), 256)

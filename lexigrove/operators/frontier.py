@@ -16,6 +16,13 @@ def admit(candidates: DataFrame, queued: DataFrame, done: DataFrame, by: str = "
     return got.select(by, F.when(F.col("q_"), "already_in_queue").when(F.col("d_"), said).otherwise("admitted").alias("status"))
 
 
+def insert(seeds: DataFrame, queued: DataFrame, done: DataFrame, by: str = "href", start: str = "/wiki/") -> tuple[DataFrame, DataFrame]:
+    """What became of each seed (admit(), or `refused` if it doesn't begin with `start`), and the queue with those admitted."""
+    good = F.coalesce(F.startswith(F.col(by), F.lit(start)), F.lit(False))
+    status = admit(seeds.where(good), queued, done, by).unionByName(seeds.where(~good).select(by).distinct().withColumn("status", F.lit("refused")))
+    return status, queued.select(by).distinct().unionByName(status.where("status = 'admitted'").select(by))
+
+
 def breadth_first(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """node, depth of what is reached from seeds (node) over links (src, dst) in so many rounds, at the least
     depth. Each round joins only the newest nodes and drops those seen."""

@@ -137,16 +137,16 @@ def descendants_with_repeats(edges: DataFrame, taxon: str) -> DataFrame:
     """Species urls as often as a walk meets them that only remembers its own path's names and their
     siblings: a call for a name drops children seen on its way, then remembers all that are left."""
     e = deduplicated(edges).select("parent", "child", "is_species")
-    kids = e.groupBy("parent").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("is_species"), F.col("child")))).alias("taxa"), F.sort_array(F.collect_list(F.when(F.col("is_species"), F.col("child")))).alias("species")
-    )
+    kids = cut(e.where("not is_species").groupBy("parent").agg(F.sort_array(F.collect_list("child")).alias("taxa")))
+    species = cut(e.where("is_species").select(F.col("parent").alias("name"), "child"))  # these may be many of one taxon, and stay rows
     new = edges.sparkSession.createDataFrame([(taxon.strip().lower(), [])], "name string, visited array<string>")
     out = None
     for _ in range(MOST_ROUNDS):
-        calls = cut(new.join(kids, F.col("name") == F.col("parent")).withColumn("go", F.array_except("taxa", "visited")))
+        taxa = F.coalesce("taxa", F.array().cast("array<string>"))
+        calls = cut(new.join(kids, F.col("name") == F.col("parent"), "left").withColumn("go", F.array_except(taxa, "visited")))
         if calls.isEmpty():
             break
-        got = calls.select(F.explode("species").alias("child"))
+        got = calls.select("name").join(species, "name").select("child")
         out = got if out is None else out.union(got)
         new = calls.select(F.explode("go").alias("name"), F.array_union("visited", "go").alias("visited"))
     if out is None:

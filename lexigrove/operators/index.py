@@ -27,7 +27,7 @@ def document_terms(docs: DataFrame, stopwords=None) -> DataFrame:
 def counted_terms(rows: DataFrame) -> DataFrame:
     """Adds term, n, tf and leads to rows with an array `words`, which goes; a row for each distinct word."""
     others = [c for c in rows.columns if c != "words"]
-    w = rows.where(F.size("words") > 0).select(*others, F.array_sort("words").alias("w"))
+    w = rows.where(F.size("words") > 0).select(*others, F.sort_array("words").alias("w"))
     first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
     w = w.withColumn("s", first)
     run = F.transform(
@@ -121,9 +121,8 @@ def n_documents(rows: DataFrame) -> int:
 def top_terms(counts: DataFrame, letters: int = 2, most: int = 3) -> DataFrame:
     """prefix, place, term, df: the terms of each prefix that most documents have; ties by term."""
     df = document_frequencies(counts).withColumn("prefix", F.substring("term", 1, letters))
-    best = F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("m"), "term")))
-    got = df.groupBy("prefix").agg(F.slice(best, 1, most).alias("t")).select("prefix", F.posexplode("t").alias("k", "t"))
-    return got.select("prefix", (F.col("k") + 1).alias("place"), "t.term", (-F.col("t.m")).alias("df"))
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy(F.col("df").desc(), "term"))
+    return df.withColumn("place", place).where(F.col("place") <= most).select("prefix", "place", "term", "df")
 
 
 def terms_by_node(terms: DataFrame, n: int) -> DataFrame:

@@ -72,7 +72,7 @@ def growth_rate(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def service_statistics(events: DataFrame) -> DataFrame:
-    """One row for each service: ops, nodes, least, average and greatest value, errors aside."""
+    """One row for each service: ops, nodes, least, average and greatest value; errors are a service, too."""
     v = F.col("value")
     return events.groupBy(F.col("event_type").alias("service")).agg(
         F.count("*").alias("ops"), F.count_distinct("user_id").alias("nodes"), F.min(v).alias("least"), F.avg(v).alias("average"), F.max(v).alias("greatest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions import text
+from lexigrove.functions import display, text
 from lexigrove.operators import frontier, hierarchy, index, mapreduce, metrics, placement, querier, search
 from lexigrove.session import cut, cut_by, shared_dir, table
 from lexigrove.sources import fetch, html, store, summaries
@@ -923,3 +923,40 @@ def summary_join(spark, sf_dir):
     told = F.to_json(F.struct(F.when(k % 7 == 0, "Not found.").otherwise(F.col("t")).alias("title"), F.concat("t", F.lit("\n"), "url").alias("extract"), k.alias("id")))
     payload = F.when(k % 11 == 0, F.concat(F.lit("<html>"), told)).otherwise(told)
     return summaries.with_summaries(p.drop("t"), p.where(k % 5 != 0).select("url", payload.alias("payload"))).select("page_id", "title", "description")
+
+
+# --- what a user sees -----------------------------------------------------------------------------------
+
+_META = f"""{_search_sql(QUERY)},
+lv AS (SELECT a.group_ord, p.doc_id, arg_max(coalesce(p.taxonomy_level, ''), a.pos) AS level, arg_max(p.binomial_boost > 1, a.pos) AS named FROM post p JOIN asked a ON p.term = a.term GROUP BY ALL),
+fst AS (SELECT doc_id, arg_min(level, group_ord) AS level, arg_min(named, group_ord) AS named FROM lv JOIN grp USING (group_ord, doc_id) GROUP BY doc_id)"""
+
+
+@query(f"{_META} SELECT rank, doc_id, nullif(level, '') AS taxonomy_level, named AS is_binomial, kingdom, family FROM top JOIN fst USING (doc_id) WHERE rank <= {search.TOP}")
+def search_metadata(spark, sf_dir):
+    """What the last term of a group says of a document, by its first group."""
+    got = search.search(*indexed(spark, sf_dir), QUERY)
+    return got.select("rank", "doc_id", *[F.col("meta")[c].alias(c) for c in ("taxonomy_level", "is_binomial", "kingdom", "family")])
+
+
+_N_TERMS = len(text.query_terms(QUERY))
+_RULE = "─" * (display.WIDTH - 2)
+
+
+@query(f"""{_META}, x AS (SELECT rank, list_filter([rank || '. ' || upper(binomial), '-', 'URL: {display.BASE}/wiki/doc_' || doc_id,
+  'Score: ' || printf('%.4f', round(score, 9)) || ' (matched ' || CAST(matched_terms AS BIGINT) || '/{_N_TERMS} terms)', 'Kingdom: ' || kingdom, 'Family: ' || family,
+  CASE WHEN level <> '' OR named THEN '-' END, CASE WHEN level <> '' OR named THEN 'Relevance Boosters:' END,
+  CASE WHEN level <> '' THEN '  ✓ Taxonomy match: ' || level END, CASE WHEN named THEN '  ✓ Term appears in binomial name' END], lambda l: l IS NOT NULL) AS ls
+  FROM top JOIN fst USING (doc_id) WHERE rank <= {search.TOP})
+SELECT rank, '┌{_RULE}┐' || chr(10) || array_to_string(list_transform(ls, lambda l: CASE WHEN l = '-' THEN '├{_RULE}┤' ELSE '│ ' || l || repeat(' ', greatest(0, {display.WIDTH - 4} - length(l))) || ' │' END), chr(10)) || chr(10) || '└{_RULE}┘' AS box FROM x""")
+def result_boxes(spark, sf_dir):
+    key = F.concat(F.lit("/wiki/doc_"), F.col("doc_id").cast("string"))
+    return display.result_boxes(search.search(*indexed(spark, sf_dir), QUERY), _N_TERMS, key)
+
+
+@query("""SELECT event_id, CASE WHEN value * 100 < 1000 THEN CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) || 'ms' ELSE printf('%d.%02ds', CAST(floor((floor(value * 100) + 5) / 10) AS BIGINT) // 100, CAST(floor((floor(value * 100) + 5) / 10) AS BIGINT) % 100) END AS took,
+format('{:,}', event_id * 1000) AS number, repeat('█', CAST(round(least(1, value / 50) * 20) AS INTEGER)) || repeat('░', 20 - CAST(round(least(1, value / 50) * 20) AS INTEGER)) AS bar FROM events""")
+def format_figures(spark, sf_dir):
+    """Each event's value as a time and a bar, its id as a number."""
+    ms = F.floor(F.col("value") * 100)
+    return _events(spark, sf_dir).select("event_id", display.shown_time(ms).alias("took"), display.shown_number(F.col("event_id") * 1000).alias("number"), display.bar(F.col("value") / 50).alias("bar"))

@@ -6,6 +6,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.session import cut
+
 
 def bucket(key="key", n: int = 64):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
@@ -75,6 +77,47 @@ def latest(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     return rows.withColumn("k_", F.row_number().over(w)).where("k_ = 1").drop("k_")
 
 
+#: Fixed value: files that a file system puts beside the keys.
+SYSTEM = [".DS_Store"]
+
+
+def without_system_files(rows: DataFrame, by: str = "key") -> DataFrame:
+    """Rows whose key is not, and doesn't lead to, a system file."""
+    return rows.where(~F.coalesce(F.element_at(F.split(by, "/"), -1).isin(SYSTEM), F.lit(False)))
+
+
+class Memory:
+    """Rows (key, ...) by key in the executors' memory: put, get and delete, without files until PUTS changes have come, when all is
+    written to the shared folder once. What a lost executor held is made again from what it was made from."""
+
+    PUTS = 16
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.changes = rows.limit(0), 0
+        self.put(rows)
+
+    def _hold(self, rows: DataFrame) -> None:
+        self.changes += 1
+        was, self.rows = self.rows, (cut(rows) if self.changes % self.PUTS == 0 else rows).persist()
+        self.rows.count()
+        was.unpersist()
+
+    def put(self, rows: DataFrame) -> None:
+        """Rows take the place of those with their keys; of several with one key any one stays."""
+        self._hold(delete(self.rows, rows).unionByName(rows.dropDuplicates(["key"])))
+
+    def get(self, key: str | None = None) -> DataFrame:
+        """The row of a key; without one all keys."""
+        return self.rows.select("key") if key is None else self.rows.where(F.col("key") == key)
+
+    def delete(self, key: str) -> bool:
+        """Take a key out; False if it isn't there."""
+        if self.get(key).isEmpty():
+            return False
+        self._hold(self.rows.where(F.col("key") != key))
+        return True
+
+
 def delete(rows: DataFrame, keys: DataFrame, by: str = "key") -> DataFrame:
     return rows.join(keys.select(by).distinct(), by, "left_anti")
 
