@@ -49,13 +49,18 @@ def release() -> None:
         pass
 
 
-#: Most partitions that an operator deals anything out to.
+#: Most partitions that an operator deals anything out to. Buckets may be more: a task takes its buckets one after the other.
 MOST_PARTS = 100_000
 
 
 def parts(n: int, each: int, least: int = 1) -> int:
-    """Number of buckets so that n items make buckets of about `each`, MOST_PARTS at most."""
-    return min(MOST_PARTS, max(least, -(-n // each)))
+    """Number of buckets so that n items make buckets of about `each`, however many items there are."""
+    return max(least, -(-n // each))
+
+
+def tasks(buckets: int) -> int:
+    """Number of partitions for so many buckets."""
+    return min(MOST_PARTS, buckets)
 
 
 #: Keys that hold more than one HEAVY-th of all rows each are fewer than HEAVY, whatever the data.

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Union, attach, batches, components, counted, grouped, lean, parts, repeated
+from lexigrove.llm.common import Union, attach, batches, components, counted, grouped, lean, parts, repeated, tasks
 from lexigrove.session import Scratch, cut, cut_by
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -162,7 +162,7 @@ def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     packed = sample.select("text").mapInPandas(lean(tokens), "bucket long, tokens binary")
-    top = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(lean(count), "token long, n long")
+    top = packed.repartition(tasks(buckets), "bucket").sortWithinPartitions("bucket").mapInPandas(lean(count), "token long, n long")
     got = top.orderBy(F.col("n").desc(), "token").limit(HEAVY).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -173,7 +173,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (a, b) between linked documents of (doc_id, ent, key) with one key, MEMBERS of which meet at a
     time. They need not be complete: each further round over the chunks' first documents would deal out all
     texts again, and what is left is found by candidates()."""
-    tasks = cut(repeated(reps, "key", "size").withColumn("chunk", F.pmod(F.xxhash64("ent"), F.ceil(F.col("size") / MEMBERS))))
+    chunks = cut(repeated(reps, "key", "size").withColumn("chunk", F.pmod(F.xxhash64("ent"), F.ceil(F.col("size") / MEMBERS))))
 
     def link(frames):
         for rows in grouped(with_sets(frames), ["key", "chunk"]):
@@ -191,8 +191,8 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
             roots = [(e, found.find(e)) for e in rows["ent"].tolist()]
             yield pd.DataFrame([r for r in roots if r[0] != r[1]], columns=["a", "b"], dtype=np.int64)
 
-    work = docs.join(tasks, "doc_id").select("key", "chunk", "ent", "text")
-    dealt = work.repartition(parts(tasks.count(), BUCKET_DOCS, 24), "key", "chunk").sortWithinPartitions("key", "chunk", "ent")
+    work = docs.join(chunks, "doc_id").select("key", "chunk", "ent", "text")
+    dealt = work.repartition(tasks(parts(chunks.count(), BUCKET_DOCS, 24)), "key", "chunk").sortWithinPartitions("key", "chunk", "ent")
     return cut(dealt.mapInPandas(lean(link), "a long, b long"))
 
 
@@ -260,7 +260,7 @@ def candidates(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, weight: np.n
 
     rows = docs.join(reps.select("doc_id", *ids), "doc_id").select(*ids, "text")
     packed = rows.mapInPandas(lean(postings), "bucket long, tokens binary, who binary, ids binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(tasks(buckets), "bucket").sortWithinPartitions("bucket")
     met = dealt.mapInPandas(lean(pairs), "ent long, grp long, n long, tokens long").groupBy("ent", "grp", "n").agg(F.sum("tokens").alias("tokens"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARE))
     return met.where(F.col("tokens") >= least).select("ent", "grp")
@@ -290,10 +290,10 @@ def open_groups(docs: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
     A group has MEMBERS about, and the union of its members' tokens. A document of n tokens of which fewer than
     need(n) are in the union links with no member, and the group stays shut.
     """
-    tasks = cut(found.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts")))
+    opened = cut(found.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts")))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
-    members = reps.join(tasks, "grp").select("grp", salts, F.lit(0).alias("asks"), "ent", "comp", "doc_id")
-    asks = found.join(tasks, "grp").join(reps.select("ent", "comp", "doc_id"), "ent")
+    members = reps.join(opened, "grp").select("grp", salts, F.lit(0).alias("asks"), "ent", "comp", "doc_id")
+    asks = found.join(opened, "grp").join(reps.select("ent", "comp", "doc_id"), "ent")
     asks = asks.select("grp", F.pmod(F.xxhash64("ent"), "salts").alias("salt"), F.lit(1).alias("asks"), "ent", "comp", "doc_id")
     work = cut(members.union(asks))
     n = work.count()
@@ -314,7 +314,7 @@ def open_groups(docs: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     rows = docs.join(work, "doc_id").select("grp", "salt", "asks", "ent", "comp", "text")
-    dealt = rows.repartition(parts(n, BUCKET_DOCS, 24), "grp", "salt").sortWithinPartitions("grp", "salt", "asks", "ent")
+    dealt = rows.repartition(tasks(parts(n, BUCKET_DOCS, 24)), "grp", "salt").sortWithinPartitions("grp", "salt", "asks", "ent")
     return cut(dealt.mapInPandas(lean(link), "a long, b long"))
 
 

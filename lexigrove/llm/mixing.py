@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import WORD, parts
+from lexigrove.llm.common import WORD, parts, tasks
 from lexigrove.session import Scratch, cut
 
 #: Words in a block; each source's words, in the order of its documents' hashes, are cut into such blocks. A source of few
@@ -99,13 +99,13 @@ def draw_slots(src: DataFrame, seed: Column, shard_slots: int = SHARD_SLOTS) ->
     placed = placed.select("src", (F.col("base") + F.col("hi") - F.col("slots")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
     cell = -(-total // max(n, shards))
     placed = placed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
-    slots = spark.range(0, total, 1, parts(total, TASK_SLOTS)).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.floor(F.pmod(F.xxhash64(seed, "id"), F.lit(POINTS)) * (total / POINTS)).cast("long").alias("at"))
+    slots = spark.range(0, total, 1, tasks(parts(total, TASK_SLOTS))).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.floor(F.pmod(F.xxhash64(seed, "id"), F.lit(POINTS)) * (total / POINTS)).cast("long").alias("at"))
     drawn = slots.withColumn("cell", F.floor(F.col("at") / cell)).join(placed, "cell").where("lo <= at and at < hi")
     counts = cut(drawn.groupBy("src", "shard").agg(F.count("*").alias("k")))
     order = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("end", F.sum("k").over(order)).join(src.select("src", "slots"), "src")
     first = F.col("end") - F.col("k")
-    got = counts.where(first < F.col("slots")).repartition(parts(total, TASK_SLOTS), "src", "shard")
+    got = counts.where(first < F.col("slots")).repartition(tasks(parts(total, TASK_SLOTS)), "src", "shard")
     got = got.select("shard", "src", F.explode(F.sequence(first, F.least("end", "slots") - 1)).alias("j"))
     had = counts.groupBy("src").agg(F.sum("k").alias("had"))
     lack = src.where("slots > 0").join(had, "src", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import attach, batches, grouped, lean, parts, release, repeated
+from lexigrove.llm.common import attach, batches, grouped, lean, parts, release, repeated, tasks
 from lexigrove.session import Scratch, cut, cut_by
 
 #: Bytes of a passage.
@@ -25,9 +25,8 @@ HOT, SPLIT = 200, 8
 FEW = 200_000
 #: Passages of a text that are hashed at a time, and bits that hold a place among them.
 PART, PLACE = 1 << 18, np.uint64(20)
-#: Suffixes that a task sorts into one run, documents for each bucket, bytes that tell buckets apart,
-#: suffixes that the bounds of the buckets are taken from.
-RUN, BUCKET_DOCS, HEAD, SAMPLE = 40_000, 1_500, 64, 50_000
+#: Suffixes that a task sorts into one run, documents for each bucket, suffixes that the bounds of the buckets are taken from.
+RUN, BUCKET_DOCS, SAMPLE = 40_000, 1_500, 50_000
 #: Documents of one task where texts are read.
 TABLE_DOCS = 4_500
 U = np.uint64
@@ -322,10 +321,31 @@ class Posts:
         return self.raw[lo * self.kind.unit : (hi + self.kind.length) * self.kind.unit]
 
 
-def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
+class Buckets:
+    """Where suffixes meet. Those of level 0 go to ranges of the symbols that all their passages share, between bounds that have
+    about equally many suffixes between them; where there are fewer bounds than it takes, ranges are divided by a hash of those
+    symbols. At higher levels, where very many suffixes begin alike for long, the hash of what their passages share says it all.
+    Suffixes with so much in common, which are to be compared, always meet."""
+
+    def __init__(self, bounds: list[bytes], buckets: int, kind: Kind):
+        self.bounds, self.buckets, self.kind = bounds, buckets, kind
+        self.spread = -(-buckets // (len(bounds) + 1))
+        self.ranged = (len(bounds) + 1) * self.spread
+
+    def of(self, suffix: bytes, level: int) -> int:
+        deep = suffix[: self.kind.deep(level) * self.kind.unit]
+        if level:
+            return self.ranged + (level - 1) * self.buckets + zlib.crc32(deep) % self.buckets
+        return bisect_right(self.bounds, deep) * self.spread + (zlib.crc32(deep) % self.spread if self.spread > 1 else 0)
+
+    def level(self, bucket: int) -> int:
+        return 0 if bucket < self.ranged else 1 + (bucket - self.ranged) // self.buckets
+
+
+def suffix_rows(frames, buckets: Buckets):
     """Rows (bucket, kind, data, rid, start, end) of documents with repeated suffixes: kind 0 are sorted,
     front-coded runs of suffixes, 1 passages that are repeated within this task."""
-    unit = kind.unit
+    kind, unit = buckets.kind, buckets.kind.unit
     blocks: dict[tuple[bytes, int, int], list] = {}
     held = 0
 
@@ -339,9 +359,9 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
         items.sort(key=lambda x: x[0])
         dealt: dict[int, list] = {}
         for suffix, level, *rest in items:
-            dealt.setdefault(level * buckets + bisect_right(bounds, suffix[:HEAD]), []).append((suffix, *rest))
+            dealt.setdefault(buckets.of(suffix, level), []).append((suffix, *rest))
         out = [(b, 0, zlib.compress(pickle.dumps(encode_run(x), 5), 1), 0, 0, 0) for b, x in dealt.items()]
-        out += [(-1 - rid % buckets, 1, b"", rid, a, b) for rid, a, b in merged(local)]
+        out += [(-1 - rid % buckets.buckets, 1, b"", rid, a, b) for rid, a, b in merged(local)]
         blocks.clear()
         held = 0
         return pd.DataFrame(out, columns=["bucket", "kind", "data", "rid", "start", "end"])
@@ -361,14 +381,15 @@ def suffix_rows(frames, bounds: list[bytes], buckets: int, kind: Kind):
     yield flush()
 
 
-def resolve(frames, kind: Kind, buckets: int):
+def resolve(frames, buckets: Buckets):
     """Rows (rid, start, end): ranges of repeated passages, from the rows of suffix_rows by bucket."""
     for rows in grouped(frames, ["bucket"]):
         if int(rows["kind"].iloc[0]):
             yield rows[["rid", "start", "end"]]
             continue
         out: list[tuple[int, int, int]] = []
-        deep = kind.deep(int(rows["bucket"].iloc[0]) // buckets) * kind.unit
+        kind = buckets.kind
+        deep = kind.deep(buckets.level(int(rows["bucket"].iloc[0]))) * kind.unit
         group: list[tuple] = []
         for item in merge_runs([pickle.loads(zlib.decompress(d)) for d in rows["data"]]):
             if item[1] < deep and group:
@@ -470,29 +491,38 @@ def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
     return cut(settled.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.level").alias("levels")))
 
 
-def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end), in symbols."""
-    buckets = parts(docs.count(), BUCKET_DOCS, 12)
+def buckets_for(docs: DataFrame, found: DataFrame, kind: Kind) -> Buckets:
+    """Buckets for the suffixes of repeated_suffixes(), of BUCKET_DOCS documents each: a sample of documents with about SAMPLE
+    suffixes sets the bounds, in which a head counts as often as it comes."""
 
     def heads(frames):
         for frame in frames:
             out = []
-            for text, places, lows in zip(frame["text"], frame["places"], frame["lows"], strict=True):
+            for rid, text, places, levels in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["levels"], strict=True):
                 raw = kind.raw(text)
-                out += [raw[int(a) * kind.unit :][:HEAD] for a in np.asarray(places, np.int64) - np.asarray(lows, np.int64)]
-            yield pd.DataFrame({"head": out}, dtype=object)
+                own = [int(a) for a, level in zip(places, levels, strict=True) if not level]
+                out += [(rid ^ a, raw[a * kind.unit :][: kind.depth * kind.unit]) for a in own]
+            yield pd.DataFrame(out, columns=["key", "head"])
+
+    buckets = parts(docs.count(), BUCKET_DOCS, 12)
+    rate = max(1, found.count() // (SAMPLE // 25))
+    sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(lean(heads), "key long, head binary")
+    ordered = sorted(bytes(r[0]) for r in sample.orderBy(F.xxhash64("key"), "key", "head").limit(SAMPLE).select("head").collect())
+    bounds = sorted({ordered[k * len(ordered) // buckets] for k in range(1, buckets)}) if ordered else []
+    del ordered
+    release()
+    return Buckets(bounds, buckets, kind)
 
+
+def repeated_ranges(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(rid, ranges) for rows (rid, text) that have repeated passages; ranges are sorted (start, end), in symbols."""
     with Scratch(docs.sparkSession) as scratch:
         found = repeated_suffixes(docs, kind)
-        # a sample of documents with about SAMPLE suffixes sets the bounds of the buckets
-        rate = max(1, found.count() // (SAMPLE // 25))
-        sample = docs.join(found.where(F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(rate)) == 0), "rid").mapInPandas(lean(heads), "head binary")
-        heads_ = sorted({bytes(r[0]) for r in sample.orderBy(F.xxhash64("head")).limit(SAMPLE).collect()})
-        release()
-        bounds = [heads_[k * len(heads_) // buckets] for k in range(1, buckets)] if heads_ else []
-        rows = docs.join(found, "rid").mapInPandas(lean(lambda f: suffix_rows(f, bounds, buckets, kind)), "bucket long, kind int, data binary, rid long, start long, end long")
-        dealt = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
-        ranges = dealt.mapInPandas(lean(lambda f: resolve(f, kind, buckets)), "rid long, start long, end long")
+        buckets = buckets_for(docs, found, kind)
+        shared = docs.sparkSession.sparkContext.broadcast(buckets)
+        rows = docs.join(found, "rid").mapInPandas(lean(lambda f: suffix_rows(f, shared.value)), "bucket long, kind int, data binary, rid long, start long, end long")
+        dealt = rows.repartition(tasks(2 * buckets.buckets), "bucket").sortWithinPartitions("bucket")
+        ranges = dealt.mapInPandas(lean(lambda f: resolve(f, shared.value)), "rid long, start long, end long")
         return scratch.keep(cut(ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import attach, components, grouped, parts
+from lexigrove.llm.common import attach, components, grouped, parts, tasks
 from lexigrove.session import Scratch, cut
 
 #: Least cosine of a link.
@@ -180,5 +180,5 @@ def _linked(vectors: DataFrame) -> DataFrame:
                 some = links > 0
                 yield pd.DataFrame({"ent": x["ent"][some], "links": links[some].astype(np.int64), "low": low[some]})
 
-    dealt = entry.repartition(parts(n * (k - least + 1), 10_000, 24), "rank", "second", "i", "j").sortWithinPartitions("rank", "second", "i", "j")
+    dealt = entry.repartition(tasks(parts(n * (k - least + 1), 10_000, 24)), "rank", "second", "i", "j").sortWithinPartitions("rank", "second", "i", "j")
     return answer(cut(dealt.mapInPandas(meet, "ent long, links long, low long")))

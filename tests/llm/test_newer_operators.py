@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import permutations
@@ -12,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.llm import audit, negatives, replies
+from lexigrove.llm import audit, negatives, replies, substring
 
 TURNS = "conv_id long, turn long, role string, text string, leaf int, root string, id int, k string, tid int, t int"
 MARKS = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|", "<\\\\|im_end|>\n", "<", "|", "", "é中𝄞", "\n", "a\\nb"]
@@ -219,3 +221,44 @@ def test_bounds_hold():
         assert (low <= score).all() and (score <= high).all()
         if scale == 300:  # and leave most of the far ones out
             assert (high - low).mean() < 0.5 * np.abs(score).mean()
+
+
+def test_one_line_before_many_texts(spark, monkeypatch):
+    """Pairs of documents that all begin with one line, just too short for a passage: no bucket holds a tenth of the suffixes, and results are whole."""
+    monkeypatch.setattr(substring, "BUCKET_DOCS", 40)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    kind = substring.of_bytes(400)
+    lines = (" ".join(word() for _ in range(80))[:385] for _ in range(99))
+    line = next(x for x in lines if substring.anchors(kind.raw(x + " " + x[::-1]), kind)[0][0] < 150)  # a suffix lies in it
+    texts = [line + " " + " ".join(word() for _ in range(110)) for _ in range(800)]
+    df = spark.createDataFrame([(2 * k + c, t) for k, t in enumerate(texts) for c in (0, 1)], "rid long, text string").repartition(8).cache()
+    found = substring.repeated_suffixes(df, kind)
+    buckets = substring.buckets_for(df, found, kind)
+    shared = spark.sparkContext.broadcast(buckets)
+    rows = df.join(found, "rid").mapInPandas(lambda f: substring.suffix_rows(f, shared.value), "bucket long, kind int, data binary, rid long, start long, end long")
+    sizes = Counter()
+    for x in rows.where("kind = 0").collect():
+        sizes[x["bucket"]] += len(pickle.loads(zlib.decompress(x["data"])))
+    assert sum(sizes.values()) > 5000 and max(sizes.values()) < sum(sizes.values()) / 10
+    assert {buckets.level(b) for b in sizes} > {0}  # the line's suffixes go on in too many ways
+    got = substring.strip_passages(df.withColumnRenamed("rid", "doc_id")).collect()
+    assert {x["n_removed"] - x["n_bytes"] for x in got} == {0}  # each has a copy
+    alone = substring.strip_passages(df.where("rid % 2 = 0").withColumnRenamed("rid", "doc_id")).collect()
+    assert {x["n_removed"] for x in alone} == {0}
+
+
+def test_buckets_keep_groups_together():
+    """Suffixes that agree in what their passages share meet in one bucket of their level, whatever the bounds."""
+    r = random.Random(7)
+    kind = substring.of_bytes(40)
+    heads = sorted({bytes(r.choice(b"ab") for _ in range(kind.depth)) for _ in range(9)})
+    for bounds, n in (([], 5), (heads[:3], 3), (heads, 50)):
+        b = substring.Buckets(bounds, n, kind)
+        seen = {}
+        for _ in range(2000):
+            level = r.randrange(3)
+            suffix = r.choice(heads) + bytes(r.choice(b"ab") for _ in range(30))
+            k = b.of(suffix, level)
+            assert b.level(k) == level and seen.setdefault((level, suffix[: kind.deep(level)]), k) == k
+        assert len({k for k in seen.values()}) > 2
