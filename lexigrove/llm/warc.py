@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,18 +100,34 @@ def fixity(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame
         return scratch.keep(cut(left.join(bad, ["segment", "seq"], "left").select("page_id", "segment", "seq", "offset", "length", "digest", F.coalesce("bad", F.lit(False)).alias("damaged"))))
 
 
+def unpacked(data: bytes) -> bytes:
+    """The bytes of a file of gzip members, up to a damaged one, or those of any other file."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse_warc(data: bytes):
-    """(offset, headers, body) of each record in a WARC file's bytes, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    """(offset, headers, body) of each whole record in a WARC file's bytes, gzip members or plain. What comes after a record that is
+    cut off, or doesn't tell its length, can't be found and is left out."""
+    data, at = unpacked(data), 0
     while (m := HEAD.match(data, at)) is not None:
-        end = data.index(b"\r\n\r\n", at)
-        pairs = (line.split(b":", 1) for line in data[m.end() : end].split(b"\r\n") if b":" in line)
-        head = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, v in pairs}
-        size = int(head.get("content-length", 0))
-        yield at, head, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
+        end = data.find(b"\r\n\r\n", at)
+        pairs = (line.split(b":", 1) for line in data[m.end() : max(end, 0)].split(b"\r\n") if b":" in line)
+        head = {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, v in pairs}
+        size = head.get("content-length", "")
+        if end < 0 or not size.isascii() or not size.isdigit() or end + 4 + int(size) > len(data):
+            return
+        yield at, head, data[end + 4 : end + 4 + int(size)]
+        at = end + 8 + int(size)
 
 
 def read_warc(spark, path: str) -> DataFrame:
