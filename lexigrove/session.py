@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Scratch scopes that are open, the innermost last.
-_open: list[Scratch] = []
+class _Scopes(threading.local):
+    """A thread's open scopes, the innermost last."""
+
+    def __init__(self):
+        self.open: list[Scratch] = []
+
+
+_scopes = _Scopes()
 
 
 class Scratch:
@@ -57,15 +64,15 @@ class Scratch:
         self.spark, self.made = spark, {}
 
     def __enter__(self) -> Scratch:
-        _open.append(self)
+        _scopes.open.append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         at = df.__dict__.get("written_at")
         if at in self.made:
             name = self.made.pop(at)
-            if len(_open) > 1:
-                _open[-2].made[at] = name
+            if len(_scopes.open) > 1:
+                _scopes.open[-2].made[at] = name
         return df
 
     def drop(self, df: DataFrame) -> None:
@@ -75,7 +82,7 @@ class Scratch:
             remove(self.spark, at, self.made.pop(at))
 
     def __exit__(self, *_) -> None:
-        _open.remove(self)
+        _scopes.open.remove(self)
         for at, name in self.made.items():
             remove(self.spark, at, name)
 
@@ -88,10 +95,23 @@ def remove(spark: SparkSession, path: str, name: str | None = None) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop(df: DataFrame) -> bool:
+    """Delete the table that cut() or cut_by() wrote for df, such as an operator's result that its caller is done with; False if df
+    itself is no such table."""
+    at = df.__dict__.get("written_at")
+    if at is None:
+        return False
+    for scope in _scopes.open:
+        scope.made.pop(at, None)
+    remove(df.sparkSession, at, df.__dict__.get("written_as"))
+    return True
+
+
 def _written(df: DataFrame, path: str, name: str | None) -> DataFrame:
     df.__dict__["written_at"] = path
-    if _open:
-        _open[-1].made[path] = name
+    df.__dict__["written_as"] = name
+    if _scopes.open:
+        _scopes.open[-1].made[path] = name
     return df
 
 

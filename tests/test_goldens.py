@@ -163,6 +163,34 @@ def test_pause_and_resume(spark, tmp_path):
     assert got == {"common": 3, "worda": 1, "wordb": 1, "wordc": 1}
 
 
+def test_scopes_and_drops(spark, tmp_path):
+    """A scope's tables go with it, but for those kept; threads don't see each other's scopes; a kept table can be dropped."""
+    import threading
+    from pathlib import Path
+
+    from lexigrove.session import Scratch, cut, cut_by, drop
+
+    at = lambda df: Path(df.__dict__["written_at"].removeprefix("file:"))
+    ready, go, there = threading.Event(), threading.Event(), []
+
+    def other():
+        with Scratch(spark):
+            mine = cut(spark.range(3))
+            ready.set()
+            go.wait(60)
+            there.append(at(mine).exists())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    ready.wait(60)
+    with Scratch(spark) as scratch:
+        gone, kept = cut(spark.range(2)), scratch.keep(cut_by(spark.range(5), "id", 2))
+    go.set()
+    thread.join()
+    assert there == [True] and not at(gone).exists() and kept.count() == 5
+    assert drop(kept) and not at(kept).exists() and not drop(spark.range(1))
+
+
 def test_sibling_order(spark):
     e = _edges(spark, [("r", "b"), ("r", "[SPECIES] /wiki/A"), ("r", "a"), ("a", "[SPECIES] /wiki/Z"), ("a", "z"), ("z", "[SPECIES] /wiki/Y")])
     from lexigrove.engine import Engine
