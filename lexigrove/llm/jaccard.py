@@ -60,7 +60,7 @@ def _shingle_sets(texts: pd.Series) -> list[np.ndarray]:
     h = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.uint64)
     run = np.zeros(max(0, len(h) - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
-        run = mix(run ^ h[k : len(h) - WORDS + 1 + k], k)
+        run = mix(run ^ h[k : k + len(run)], k)
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if b - a >= WORDS:
@@ -329,8 +329,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     doc_id each keep their row; rows without a doc_id link with nothing and have a null component; an empty table gives
     no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    batches(spark)
+    batches(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        sets, buckets = _described(docs)
+        # texts are shuffled by doc_id once, not for each join
+        texts = cut_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), "doc_id", buckets)
+        return scratch.keep(cut(_components(sets, texts, buckets)))
+
+
+def _described(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, n, ent, key, key2 of each row, written, and the number of buckets for so many rows."""
 
     def describe(frames):
         for frame in frames:
@@ -338,30 +346,44 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             ids = frame["doc_id"].astype("Int64")
             yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "ent": [entity(s) for s in sets], "key": [group_key(s, 21) if len(s) else 0 for s in sets], "key2": [group_key(s, 22) if len(s) else 0 for s in sets]})
 
-    with Scratch(spark) as scratch:
-        rows = docs.select(F.col("doc_id").cast("string"), "text")  # ids may be null, and must not turn into floating-point numbers
-        sets = cut(rows.mapInPandas(lean(describe), "doc_id long, n long, ent long, key long, key2 long"))
-        reps = cut(sets.where("n > 0 and doc_id is not null").groupBy("ent", "n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
-        buckets = parts(sets.count(), BUCKET_DOCS, 24)
-        docs = cut_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), "doc_id", buckets)  # texts are shuffled by doc_id once, not for each join
-        heavy, weight = frequent_tokens(docs, buckets)
-        reps = cut(near_groups(docs, reps))
-        found = cut(candidates(docs, reps, heavy, weight, buckets))
-        edges = open_groups(docs, reps, found)
-        edges = edges.union(reps.where("ent <> comp").select(F.col("ent").alias("a"), F.col("comp").alias("b")))
-        comps = components(edges).withColumnRenamed("id", "ent").withColumnRenamed("component_id", "root")
-        roots = reps.select("ent", "doc_id").join(comps, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-        least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = cut(roots.join(least, "root").select("ent", "component_id"))
-        # a set that very many documents have keeps them where they are
-        weights = sets.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.count("*").alias("rows"))
-        alike = attach(sets, "ent", cut(named.join(weights, "ent")), "rows")
-        own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-        return scratch.keep(cut(alike.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))))
+    rows = docs.select(F.col("doc_id").cast("string"), "text")  # ids may be null, and must not turn into floating-point numbers
+    sets = cut(rows.mapInPandas(lean(describe), "doc_id long, n long, ent long, key long, key2 long"))
+    return sets, parts(sets.count(), BUCKET_DOCS, 24)
+
+
+def _components(sets: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of the rows of sets; docs: their doc_id and text, written in buckets of doc_id."""
+    reps = cut(sets.where("n > 0 and doc_id is not null").groupBy("ent", "n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
+    heavy, weight = frequent_tokens(docs, buckets)
+    reps = cut(near_groups(docs, reps))
+    found = cut(candidates(docs, reps, heavy, weight, buckets))
+    edges = open_groups(docs, reps, found)
+    edges = edges.union(reps.where("ent <> comp").select(F.col("ent").alias("a"), F.col("comp").alias("b")))
+    comps = components(edges).withColumnRenamed("id", "ent").withColumnRenamed("component_id", "root")
+    roots = reps.select("ent", "doc_id").join(comps, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = cut(roots.join(least, "root").select("ent", "component_id"))
+    # a set that very many documents have keeps them where they are
+    weights = sets.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.count("*").alias("rows"))
+    alike = attach(sets, "ent", cut(named.join(weights, "ent")), "rows")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+    return alike.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of their component; all columns stay, under whatever names. Repeated rows
-    of one doc_id all stay or go together; rows without a doc_id stay; so do those of null text and of no words."""
-    go = jaccard_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(go, docs["doc_id"] == go["gone_"], "left_anti")
+    of one doc_id all stay or go together; rows without a doc_id stay; so do those of null text and of no words.
+
+    Rows are shuffled by doc_id once, all their columns with them; those that go are taken out of their buckets there."""
+    batches(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        sets, buckets = _described(docs)
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+        whole = cut_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", row), "doc_id", buckets)
+        joined = _components(sets, whole.select("doc_id", "text"), buckets)
+        go = cut(joined.where("doc_id <> component_id").select("doc_id").distinct())
+        scratch.keep(whole)
+        scratch.keep(go)
+    stay = whole.join(go, "doc_id", "left_anti")
+    kept = stay.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -1,16 +1,14 @@
 """Odd rows through the operators: nulls, repeated rows, clashing names, long values, damaged files."""
 
 import gzip
-import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from lexigrove.llm import fingerprint, mixing, packing, sharding, substring, urlfilter, warc
+from lexigrove.llm import fingerprint, jaccard, mixing, packing, sharding, substring, urlfilter, warc
 
 
 def test_shards_by_hand(spark):
@@ -43,6 +41,16 @@ def test_shards_by_hand(spark):
     assert got == Counter((k, place(k), owner[place(k)], names[owner[place(k)]]) for k, _ in rows)
 
 
+def test_shingles_of_few_words():
+    """Slices of any number of words in all, the texts' sets as they are alone."""
+    texts = ["a", "a b", "", None, "a b c", "a b c d", "a b c d e", "a b c d e f"]
+    for k in range(len(texts)):
+        for n in range(len(texts) - k + 1):
+            some = texts[k : k + n]
+            got = [x.tolist() for x in jaccard.shingle_sets(pd.Series(some, dtype=object))]
+            assert got == [jaccard.shingle_sets(pd.Series([t] + ["z"] * 9, dtype=object))[0].tolist() for t in some] and [len(x) for x in got] == [max(len((t or "").split()) - 4, min(1, len((t or "").split()))) for t in some]
+
+
 def test_passages_of_odd_rows(spark):
     """Copies, repeated rows and rows without an id against brute force; other columns clash."""
     import random
