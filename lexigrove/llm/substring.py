@@ -411,18 +411,19 @@ def _salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return _mix(h ^ salt.astype(np.uint64) * U(BASE)).view(np.int64)
 
 
-def divided(posts: Posts, lows: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor the hash of its block at a level; and for the parts at the next level: which anchor, low, hash of
-    what all its passages share."""
+def divided(posts: Posts, lows: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor the hash of its block at a level, which is all bytes of its passages; and for the parts at the next level: which
+    anchor, low, hash of what all its passages share, hash of its own block."""
     kind = posts.kind
     deep = kind.deep(level + 1)
     of, low, high = (np.array(x, dtype=np.int64) for x in zip(*((k, a, b) for k, x in enumerate(lows.tolist()) for a, b in kind.parts(x, level)), strict=True))
     top = np.array([kind.top(x, level) for x in lows.tolist()], dtype=np.int64)
     lo, hi = posts.ranges(lows, top)
-    some = np.maximum(posts.first[of], posts.places[of] - high + 1) <= np.minimum(posts.last[of], posts.places[of] - low)
-    of, low = of[some], low[some]
+    first, last = np.maximum(posts.first[of], posts.places[of] - high + 1), np.minimum(posts.last[of], posts.places[of] - low)
+    some = first <= last
+    of, low, first, last = of[some], low[some], first[some], last[some]
     at = posts.places[of] - low
-    block, part = np.zeros(len(lows), np.int64), np.zeros(len(of), np.int64)
+    block, part, own = np.zeros(len(lows), np.int64), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
     near = (hi + kind.length) // PART  # anchors whose blocks are hashed at a time
     for k in np.unique(near):
         a = near == k
@@ -431,7 +432,8 @@ def divided(posts: Posts, lows: np.ndarray, level: int) -> tuple[np.ndarray, np.
         block[a] = _salted(text.hashes(lo[a] - base, hi[a] - lo[a] + kind.length), posts.places[a] - lo[a])
         b = a[of]
         part[b] = _salted(text.hashes(at[b] - base, deep), low[b])
-    return block, of, low, part
+        own[b] = _salted(text.hashes(first[b] - base, last[b] - first[b] + kind.length), posts.places[of][b] - first[b])
+    return block, of, low, part, own
 
 
 def _meet(rows: DataFrame, ways: DataFrame, size: int) -> DataFrame:
@@ -451,41 +453,52 @@ def repeated_suffixes(docs: DataFrame, kind: Kind) -> DataFrame:
             yield pd.DataFrame({"rid": rid, "place": place, "low": np.zeros(len(rid), np.int64), "suffix": suffix.view(np.int64)})
 
     def divide(level: int):
-        """Of each entry of a level its block's hash, and its parts at the next level."""
+        """The parts at the next level of each entry of a level, with the hashes of the entry's block and of their own."""
 
         def run(frames):
             for frame in frames:
                 out = []
                 for rid, text, places, lows, suffixes in zip(frame["rid"].tolist(), frame["text"], frame["places"], frame["lows"], frame["suffixes"], strict=True):
                     places, lows = np.asarray(places, np.int64), np.asarray(lows, np.int64)
-                    block, of, low, part = divided(Posts(text, places, kind), lows, level)
-                    out.append(pd.DataFrame({"rid": rid, "place": places[of], "low": low, "part": part, "suffix": np.asarray(suffixes, np.int64)[of], "block": block[of]}))
+                    block, of, low, part, own = divided(Posts(text, places, kind), lows, level)
+                    out.append(pd.DataFrame({"rid": rid, "place": places[of], "low": low, "part": part, "own": own, "suffix": np.asarray(suffixes, np.int64)[of], "block": block[of]}))
                 if out:
                     yield pd.concat(out)
 
         return run
 
+    def parts_of(entries: DataFrame, level: int) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct("place", "low", "suffix")))
+        hot = entries.groupBy("rid").agg(ordered.alias("e"))
+        hot = hot.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.suffix").alias("suffixes"))
+        return cut(docs.join(hot, "rid").mapInPandas(lean(divide(level)), "rid long, place int, low int, part long, own long, suffix long, block long"))
+
+    def of_many_ways(blocks: DataFrame) -> DataFrame:
+        ways = blocks.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
+        return cut(ways.where(F.col("ways") > HOT))
+
     posted = cut(docs.mapInPandas(lean(post), "rid long, place int, low int, suffix long"))
     level, settled = 0, None
     while True:
         found = cut(repeated(posted, "suffix", "n"))
-        split = None
+        split = halves = None
         if kind.width(level) > 1:
-            ordered = F.sort_array(F.collect_list(F.struct("place", "low", "suffix")))
-            hot = found.where(F.col("n") > HOT).groupBy("rid").agg(ordered.alias("e"))
-            hot = hot.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.suffix").alias("suffixes"))
-            halves = cut(docs.join(hot, "rid").mapInPandas(lean(divide(level)), "rid long, place int, low int, part long, suffix long, block long"))
-            ways = halves.groupBy("suffix", "block").agg(F.count("*").alias("rows")).groupBy("suffix").agg(F.sum("rows").alias("rows"), F.count("*").alias("ways"))
-            ways = cut(ways.where(F.col("ways") > HOT))
-            size = ways.count()
-            split = ways if size else None
-        rest = found if split is None else _meet(found, split, size).where(F.col("ways").isNull()).select(*found.columns)
-        rest = rest.select("rid", F.struct("place", "low", F.lit(level).alias("level")).alias("e"))
+            hot = found.where(F.col("n") > HOT)
+            if not level:  # blocks aren't known yet; beyond, each part has its own with it
+                halves = parts_of(hot, level)
+            split = of_many_ways(hot if level else halves)
+            size = split.count()
+            split = split if size else None
+        met = None if split is None else _meet(found, split, size)
+        rest = (found if met is None else met.where(F.col("ways").isNull())).select("rid", F.struct("place", "low", F.lit(level).alias("level")).alias("e"))
         settled = rest if settled is None else settled.union(rest)
         if split is None:
             break
-        many = _meet(halves, split, size).where(F.col("ways").isNotNull())
-        posted = cut(many.select("rid", "place", "low", F.col("part").alias("suffix")))
+        if level:  # only entries that go on in many ways are divided
+            many = parts_of(met.where(F.col("ways").isNotNull()).select("rid", "place", "low", "suffix"), level)
+        else:
+            many = _meet(halves, split, size).where(F.col("ways").isNotNull())
+        posted = cut(many.select("rid", "place", "low", F.col("part").alias("suffix"), F.col("own").alias("block")))
         level += 1
     settled = settled.groupBy("rid").agg(F.sort_array(F.collect_list("e")).alias("e"))
     return cut(settled.select("rid", F.col("e.place").alias("places"), F.col("e.low").alias("lows"), F.col("e.level").alias("levels")))
