@@ -13,6 +13,8 @@ from lexigrove.operators import frontier, hierarchy, index, metrics, search
 from lexigrove.session import cut
 from lexigrove.sources import html
 
+#: Documents whose postings of one prefix go to one file.
+DOCS_A_FILE = 1_000_000
 HELP = "<query> [-d] | crawl /wiki/PAGE | tree TERM [--collapse|-c] [--depth=N|-d=N] | stats | save PATH | help | exit"
 
 
@@ -29,7 +31,7 @@ class Engine:
     def postings(self) -> DataFrame:
         """The index, written once at its first use in the order of prefixes and terms, so that a search reads the row groups of its own."""
         if self._postings is None:
-            self._postings = cut(index.postings(self.records).repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term"))
+            self._postings = cut(index.in_shards(index.postings(self.records), 1 + self.documents.count() // DOCS_A_FILE))
         return self._postings
 
     def load(self, path: str) -> Engine:
@@ -76,7 +78,7 @@ class Engine:
     def stats(self) -> DataFrame:
         return metrics.summary(self.events)
 
-    def save(self, path: str, docs_a_file: int = 1_000_000) -> None:
+    def save(self, path: str, docs_a_file: int = DOCS_A_FILE) -> None:
         index.write_index(self.postings, path, salts=1 + self.n_docs // docs_a_file)
 
     def boxes(self, query: str, top: int = 5) -> DataFrame:

@@ -108,6 +108,13 @@ def write_index(rows: DataFrame, path: str, mode: str = "overwrite", salts: int
     rows.repartition("prefix", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).write.mode(mode).partitionBy("prefix").parquet(path)
 
 
+def in_shards(rows: DataFrame, salts: int = 1) -> DataFrame:
+    """Rows dealt out by prefix and, so that a large shard is not one task's, `salts` hashes of their documents, sorted by prefix and term:
+    written as they are, a search reads the row groups of its terms. Few documents have no need of a folder for each of thousands of
+    prefixes (write_index), which takes far longer to write."""
+    return rows.repartition("prefix", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("prefix", "term")
+
+
 def read_shards(spark, path: str, prefixes: list[str] | None = None) -> DataFrame:
     got = spark.read.parquet(path)
     return got if prefixes is None else got.where(F.col("prefix").isin(prefixes))

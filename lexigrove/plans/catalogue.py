@@ -94,7 +94,11 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     if key not in _held:
         path = f"{shared_dir(spark)}/index-{abs(hash(key)):x}"
         r = records(spark, sf_dir)
-        index.write_index(index.postings(r), path, salts=1 + table(spark, sf_dir, "documents").count() // DOCS_A_FILE)
+        n = table(spark, sf_dir, "documents").count()
+        if n < DOCS_A_FILE:
+            index.in_shards(index.postings(r)).write.mode("overwrite").parquet(path)
+        else:
+            index.write_index(index.postings(r), path, salts=1 + n // DOCS_A_FILE)
         rows = spark.read.schema(index.postings(r).schema).parquet(path)
         _held[key] = rows, index.n_documents(rows)
     return _held[key]
