@@ -42,12 +42,6 @@ def word_counts(docs: DataFrame, stopwords=None) -> DataFrame:
     return document_terms(docs, stopwords).select("doc_id", "term", "n")
 
 
-def term_frequencies(counts: DataFrame) -> DataFrame:
-    """Adds tf: the count over the number of distinct kept terms in the document. The counts are already
-    dealt out by (doc_id, term); this deals them by doc_id once."""
-    return counts.withColumn("tf", F.col("n") / F.count("*").over(Window.partitionBy("doc_id")))
-
-
 def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -112,12 +112,6 @@ def is_target(hierarchy: Column) -> Column:
     return F.coalesce(F.exists(hierarchy, one), F.lit(False))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, href of every anchor that has one, with repeats."""
-    found = F.regexp_extract_all("html", F.lit('<a[^>]*?href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.explode(found).alias("href"))
-
-
 #: What no tag is looked for in: comments, scripts and styles, to the page's end if they aren't closed.
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 #: An attribute: a name, and a value in double quotes, single quotes or none. Quantifiers give nothing back, so that a long tag
@@ -129,19 +123,32 @@ VALUE = r"""^[^\s/>][^\s/>=]*+\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*+))"
 ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href of every anchor with an href, in any case and quoting, pos from 0 in each page.
+def hrefs(html: str | Column) -> Column:
+    """The href of every anchor that has one, in the page's order, in any case and quoting.
 
     Tags are read attribute by attribute, by expressions: of several hrefs of one anchor the first counts, an href without a value is
     empty, `>` in quotes ends no tag, and comments, scripts and styles hold no anchors.
     """
-    tags = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
-    href = F.transform(tags, lambda t: F.get(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(r"(?i)^href(?:$|[\s=])")), F.lit(0)))
-    found = pages.select("page_id", F.posexplode(F.filter(href, lambda h: h.isNotNull())).alias("pos", "a"))
-    value = F.concat(*[F.regexp_extract("a", VALUE, k) for k in (1, 2, 3)])
-    for entity, character in ENTITIES.items():
-        value = F.replace(value, F.lit(entity), F.lit(character))
-    return found.select("page_id", "pos", value.alias("href"))
+    tags = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
+    own = F.transform(tags, lambda t: F.get(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(r"(?i)^href(?:$|[\s=])")), F.lit(0)))
+
+    def value(attribute: Column) -> Column:
+        v = F.concat(*[F.regexp_extract(attribute, VALUE, k) for k in (1, 2, 3)])
+        for entity, character in ENTITIES.items():
+            v = F.replace(v, F.lit(entity), F.lit(character))
+        return v
+
+    return F.transform(F.filter(own, lambda a: a.isNotNull()), value)
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, pos, href of hrefs(), pos from 0 in each page."""
+    return pages.select("page_id", F.posexplode(hrefs("html")).alias("pos", "href"))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, href of every anchor that has one, with repeats."""
+    return pages.select("page_id", F.explode(hrefs("html")).alias("href"))
 
 
 def wanted(href: Column, start: str = "/wiki/") -> Column:
@@ -153,8 +160,7 @@ def wanted(href: Column, start: str = "/wiki/") -> Column:
 
 def wanted_links(pages: DataFrame, start: str = "/wiki/", only_targets: bool = False) -> DataFrame:
     """Each page's wanted links, each once; with only_targets none for pages of other classes."""
-    found = F.regexp_extract_all("html", F.lit('<a[^>]*?href="([^"]*)"'), F.lit(1))
-    found = F.array_distinct(F.filter(found, lambda h: wanted(h, start)))
+    found = F.array_distinct(F.filter(hrefs("html"), lambda h: wanted(h, start)))
     if only_targets:
         found = F.when(is_target(parsed("html")["hierarchy"]), found)
     return pages.select("page_id", F.explode(found).alias("href"))
